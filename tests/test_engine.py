@@ -1,0 +1,350 @@
+"""Golden results on small inputs: aggregates, windows, requests, tiles, sources, sinks, specifications and streams."""
+
+import json
+import random
+import urllib.error
+import urllib.request
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater import schema, session
+from tidewater.functions import NAMES, expression, feature
+from tidewater.operators import relational
+from tidewater.operators.request import request_features
+from tidewater.operators.tiling import check_tiles, cover, tiled_features
+from tidewater.operators.window import Feature, window_features
+from tidewater.plans.pipeline import compile_query, request_function, run
+from tidewater.plans.spec import PipelineBuilder, PipelineSpec
+from tidewater.plans.sqlrewrite import exact_frames, rewrite
+from tidewater.sinks.writers import MemoryStore, count_rows, write_parquet
+from tidewater.sources import datagen, files
+from tidewater.sources.http import RequestServer
+from tidewater.streaming.window import StreamFeature, sliding_windows
+
+MS = 1000
+A3 = [(30000, 1.0), (60000, 2.0), (60000, 2.5), (120000, 3.0), (300000, 4.0), (330000, 5.0), (420000, 6.0), (600000, 7.0), (720000, 8.0)]
+
+
+def timed(spark, rows, key="A"):
+    data = [(n, ts, float(v), (r[0] if r else key)) for n, (ts, v, *r) in enumerate(rows)]
+    return spark.createDataFrame(data, "seq long, ms long, value double, partition_key string").withColumn("timestamp", F.timestamp_millis("ms"))
+
+
+def over_all(spark, rows, name, *args):
+    df = spark.createDataFrame([(float(v), k) for v, k in rows], "value double, k string")
+    return df.agg(F.expr(expression(name, list(args))).alias("f")).first()["f"]
+
+
+def test_there_are_thirty_aggregates():
+    assert len(NAMES) == 30
+
+
+@pytest.mark.parametrize(
+    ("name", "args", "expected"),
+    [
+        ("sum_where", ("value", "value > 2"), 7.0),
+        ("avg_where", ("value", "value > 2"), 3.5),
+        ("count_where", ("value", "value > 2"), 2),
+        ("min_where", ("value", "value > 2"), 3.0),
+        ("max_where", ("value", "value > 2"), 4.0),
+        ("sum_cate", ("value", "k"), "A:4,B:6"),
+        ("avg_cate", ("value", "k"), "A:2,B:3"),
+        ("count_cate", ("value", "k"), "A:2,B:2"),
+        ("min_cate", ("value", "k"), "A:1,B:2"),
+        ("max_cate", ("value", "k"), "A:3,B:4"),
+        ("sum_cate_where", ("value", "value > 2", "k"), "A:3,B:4"),
+        ("avg_cate_where", ("value", "value > 2", "k"), "A:3,B:4"),
+        ("count_cate_where", ("value", "value > 2", "k"), "A:1,B:1"),
+        ("min_cate_where", ("value", "value > 3", "k"), "B:4"),
+        ("max_cate_where", ("value", "value > 9", "k"), ""),
+    ],
+)
+def test_conditional_and_categorical(spark, name, args, expected):
+    assert over_all(spark, [(1, "A"), (3, "A"), (4, "B"), (2, "B")], name, *args) == expected
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("top_n_key_sum_cate_where", "c:6,b:8"),
+        ("top_n_key_count_cate_where", "c:2,b:2"),
+        ("top_n_key_avg_cate_where", "c:3,b:4"),
+        ("top_n_key_min_cate_where", "c:2,b:3"),
+        ("top_n_key_max_cate_where", "c:4,b:5"),
+        ("top_n_value_sum_cate_where", "b:8,c:6"),
+        ("top_n_value_avg_cate_where", "b:4,c:3"),
+        ("top_n_value_count_cate_where", "c:2,b:2"),
+        ("top_n_value_min_cate_where", "b:3,c:2"),
+        ("top_n_value_max_cate_where", "b:5,c:4"),
+    ],
+)
+def test_top_categories(spark, name, expected):
+    rows = [(1, "a"), (3, "b"), (5, "b"), (2, "c"), (4, "c")]
+    assert over_all(spark, rows, name, "value", "value > 0", "k", "2") == expected
+    assert over_all(spark, rows, name, "value", "value > 0", "k", "0") == ""
+
+
+def test_top_values_frequency_and_ratio(spark):
+    def one(name, values, *args):
+        return over_all(spark, [(v, "a") for v in values], name, "value", *args)
+
+    assert one("top", [1, 2, 4, 4, 3], "3") == "4,4,3"
+    assert one("top", [2, 1, 3, 3, 2], "4") == "3,3,2,2"
+    assert one("topn_frequency", [1, 1, 2, 2, 2, 3], "2") == "2,1"
+    assert one("topn_frequency", [1, 2, 3, 1, 2, 3], "3") == "3,2,1"
+    assert one("top1_ratio", [1, 1, 2, 2, 2, 3]) == 0.5
+    assert one("top1_ratio", [7, 7, 7]) == 1.0
+    rows = [(1, "a"), (2, "b"), (3, "b"), (1, "c")]
+    assert over_all(spark, rows, "top_n_key_ratio_cate", "value", "value > 1", "k", "2") == "c:0,b:1"
+    assert over_all(spark, rows, "top_n_value_ratio_cate", "value", "value > 1", "k", "2") == "b:1,c:0"
+    empty = spark.createDataFrame([(None, None)], "value double, k string")
+    got = empty.agg(*(feature(n, *("value", "value > 0", "k", "2")[: a] if n != "sum_cate" else ("value", "k")).alias(n) for n, a in (("top1_ratio", 1),)), F.expr(expression("top", ["value", "2"])).alias("t"), F.expr(expression("count_cate", ["value", "k"])).alias("c"), F.expr(expression("sum_where", ["value", "value > 0"])).alias("s")).first()
+    assert (got["top1_ratio"], got["t"], got["c"], got["s"]) == (0.0, "", "", None)
+
+
+def test_written_values_and_nulls(spark):
+    df = spark.createDataFrame([(2.5, "x", True, 1), (None, "y", False, 2), (0.1234567, None, True, 3), (1e12, "x", None, 4)], "d double, k string, b boolean, i int")
+    got = df.agg(*(F.expr(expression(*x)).alias(f"c{n}") for n, x in enumerate([("sum_cate", ["d", "k"]), ("count_cate", ["d", "k"]), ("max_cate", ["d", "b"]), ("sum_cate", ["i", "b"]), ("top", ["d", "2"]), ("top_n_key_count_cate_where", ["d", "true", "i", "9"]), ("sum_cate_where", ["i", "b", "k"])]))).first()
+    assert tuple(got) == ("x:1000000000002.5", "x:2,y:0", "true:2.5", "false:2,true:4", "1000000000000,2.5", "4:1,3:1,2:0,1:1", "x:1")
+    with pytest.raises(ValueError, match="arguments"):
+        expression("sum_cate", ["v"])
+    with pytest.raises(ValueError, match="unknown"):
+        expression("median_cate", ["v", "k"])
+
+
+def brute(rows, length, at):
+    ts = rows[at][0]
+    return [v for t, v in rows[: at + 1] if ts - length <= t]
+
+
+@pytest.mark.parametrize("shift", [0, 1])
+def test_window_matrix(spark, shift):
+    rows = [(t + shift, v) for t, v in A3]
+    minute = 60_000 * MS
+    made = [Feature("s", "sum", ("value",), 7 * minute), Feature("n", "count", ("value",), 7 * minute), Feature("a", "avg", ("value",), 7 * minute), Feature("lo", "min", ("value",), 3 * minute), Feature("hi", "max", ("value",), 5 * minute)]
+    got = window_features(timed(spark, rows), ["partition_key"], "timestamp", made, "seq").orderBy("seq").collect()
+    for n, r in enumerate(got):
+        w7, w3, w5 = (brute(rows, k * 60_000, n) for k in (7, 3, 5))
+        assert (r["s"], r["n"], r["a"], r["lo"], r["hi"]) == (sum(w7), len(w7), pytest.approx(sum(w7) / len(w7)), min(w3), max(w5))
+
+
+def test_ties_end_at_the_current_row(spark):
+    df = timed(spark, [(1000, 1), (1000, 2), (1000, 3), (6000, 4), (6001, 5)])
+    made = [Feature("s", "sum", ("value",), 5000 * MS), Feature("t", "top", ("value", "2"), 5000 * MS)]
+    got = window_features(df, ["partition_key"], "timestamp", made, "seq").orderBy("seq").collect()
+    assert [r["s"] for r in got] == [1.0, 3.0, 6.0, 10.0, 9.0] and [r["t"] for r in got] == ["1", "2,1", "3,2", "4,3", "5,4"]
+    with pytest.raises(ValueError, match="unsupported"):
+        window_features(df, ["partition_key"], "timestamp", [Feature("m", "median", ("value",), 1)], "seq")
+    mixed = timed(spark, [(0, 1, "A"), (300000, 2, "B"), (600000, 3, "A")]).withColumn("one", F.lit("K"))
+    got = window_features(mixed, ["one"], "timestamp", [Feature("f", "sum_cate", ("value", "partition_key"), 700_000 * MS)], "seq").orderBy("seq").collect()
+    assert [r["f"] for r in got] == ["A:1", "A:1,B:2", "A:4,B:2"]
+
+
+def test_all_windows_share_one_shuffle(spark):
+    made = [Feature(f"f{k}", "sum", ("value",), k * MS) for k in (1000, 5000, 9000)]
+    plan = window_features(timed(spark, A3), ["partition_key"], "timestamp", made, "seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_requests(spark):
+    asked = timed(spark, [(350000, 50), (720000, 8), (800000, 9), (5, 1)])
+    minute = 60_000 * MS
+    made = [Feature("s", "sum", ("value",), 7 * minute), Feature("n", "count", ("value",), 7 * minute), Feature("lo", "min", ("value",), 3 * minute)]
+    for exclude in (False, True):
+        got = request_features(timed(spark, A3), asked, ["partition_key"], "timestamp", made, exclude, bucket_us=minute).orderBy("seq").collect()
+        assert len(got) == 4
+        for r in got:
+            own = [] if exclude else [r["value"]]
+            w7 = [v for t, v in A3 if r["ms"] - 420_000 <= t <= r["ms"]] + own
+            w3 = [v for t, v in A3 if r["ms"] - 180_000 <= t <= r["ms"]] + own
+            assert (r["s"], r["n"], r["lo"]) == (sum(w7) if w7 else None, len(w7), min(w3) if w3 else None)
+
+
+def test_tiles_cover_and_agree(spark):
+    with pytest.raises(ValueError):
+        check_tiles((60, 90))
+    rng = random.Random(1)
+    for _ in range(200):
+        start = rng.randrange(500)
+        end = start + rng.randrange(1, 700)
+        parts = cover(start, end, (10, 50))
+        assert parts[0][1] == start and parts[-1][2] == end and all(a[2] == b[1] for a, b in zip(parts, parts[1:]))
+        assert sum(e - s for g, s, e in parts if not g) < 20 and all(s % g == 0 and e % g == 0 for g, s, e in parts if g)
+    rows = sorted((rng.randrange(0, 4_000_000), float(rng.randrange(100))) for _ in range(400))
+    df = timed(spark, rows)
+    for tiles in ((60_000 * MS,), (60_000 * MS, 300_000 * MS), (7000 * MS, 70_000 * MS, 700_000 * MS)):
+        got = tiled_features(df, ["partition_key"], "timestamp", "value", 900_000 * MS, "seq", tiles).orderBy("seq").collect()
+        for n, r in enumerate(got):
+            w = brute(rows, 900_000, n)
+            assert (r["w_sum"], r["w_count"], r["w_min"], r["w_max"]) == (sum(w), len(w), min(w), max(w))
+
+
+def test_rewriting():
+    sql = rewrite("SELECT top(v, 2) OVER w AS t, 'top(v, 2)' AS s, sum_where(f(a, b), x IN ('a,b', 'c')) FROM e -- top(v, 1)\nWINDOW w AS (ORDER BY v)")
+    assert "OVER w" in sql and "'top(v, 2)'" in sql and "-- top(v, 1)" in sql and "CASE WHEN x IN ('a,b', 'c') THEN f(a, b) END" in sql
+    text, spec = exact_frames("SELECT sum(v) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL '5' SECOND PRECEDING AND CURRENT ROW) FROM e")
+    assert spec == (["k"], "ts") and "__cursor" in text
+    assert exact_frames("SELECT 1") == ("SELECT 1", None)
+    with pytest.raises(ValueError):
+        rewrite("SELECT top(v, 2")
+
+
+def test_grouping_reduce_upsert_and_keys(spark):
+    df = spark.createDataFrame([("alice", 10), ("alice", 20), ("alice", 30), ("bob", 40), ("bob", 50), ("charlie", 60), ("dora", None)], "name string, value long")
+    got = {r["name"]: r for r in relational.reduce_by(df, ["name"], "value").collect()}
+    assert tuple(got["alice"])[1:] == (10.0, 30.0, 60.0, 3, 20.0) and got["dora"]["count"] == 1 and got["dora"]["average"] == 0.0
+    assert relational.aggregate(df, ["name"], n=("count",), s=("sum", "value")).where("name = 'bob'").first()[1:] == (2, 90)
+    rows = spark.createDataFrame([("k1", 1, "v1", 1), ("k1", 1, "v1-updated", 2), ("k2", 2, "v2", 3)], "key string, timestamp long, value string, n int")
+    assert {(r["key"], r["value"]) for r in relational.upsert_latest(rows, ["key", "timestamp"], "n").collect()} == {("k1", "v1-updated"), ("k2", "v2")}
+    store = MemoryStore(["key", "timestamp"])
+    store.write(rows, "n")
+    assert store.get("k1", 1)["value"] == "v1-updated" and len(store.by_key) == 2
+    parts = relational.key_by(rows, "key", partitions=3).withColumn("p", F.spark_partition_id()).groupBy("key").agg(F.countDistinct("p").alias("n"))
+    assert all(r["n"] == 1 for r in parts.collect())
+    with pytest.raises(ValueError):
+        relational.key_by(rows)
+    assert relational.distribute(rows, "round_robin", 5).rdd.getNumPartitions() == 5
+    assert relational.keep(df, "value > 25").count() == 4 and relational.project(df, "value * 2 AS d").columns == ["d"]
+    doubled = relational.map_batches(df.na.drop(), lambda p: p.assign(value=p["value"] * 2), "name string, value long")
+    assert doubled.agg(F.sum("value")).first()[0] == 420
+
+
+def test_late_rows(spark):
+    df = timed(spark, [(1000, 1), (2000, 2), (1500, 99), (2000, 5), (2001, 6)]).withColumn("arrival", F.when(F.col("seq") < 2, 0).otherwise(1))
+    got = relational.late_split(df, "arrival", "timestamp", 0).orderBy("seq").collect()
+    assert [r["accepted"] for r in got] == [True, True, False, False, True]
+
+
+def test_datagen_and_words(spark):
+    spec = datagen.Datagen({"event_time": datagen.Generator("IncrementalTimestamp", 1_000_000, 100), "key": datagen.Generator("Key", num_unique=6), "id": datagen.Generator("Increment", 1, 1, type="long"), "value": datagen.Generator("Uniform", min=0, max=100), "category": datagen.Generator("Values", values=("A", "B", "C")), "s": datagen.Generator("String", length=7), "now": datagen.Generator("ProcessingTimestamp")}, limit=121, parallelism=4)
+    rows = datagen.batch(spark, spec).collect()
+    assert len(rows) == 121 and len({r["key"] for r in rows}) == 6 and {len(r["s"]) for r in rows} == {7}
+    assert all(0 <= r["value"] <= 100 and r["now"] for r in rows)
+    for key in {r["key"] for r in rows}:
+        own = sorted((r["id"], r["event_time"], r["category"]) for r in rows if r["key"] == key)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[2] for x in own] == ["ABC"[k % 3] for k in range(len(own))]
+    with pytest.raises(ValueError, match="replayable"):
+        datagen.Datagen({"v": datagen.Generator("Uniform")}, limit=1, replayable=True)
+    counts = datagen.words(spark, ["a", "b"], 10, round_robin=False).groupBy("word").count().collect()
+    assert {r["word"]: r["count"] for r in counts} == {"a": 10, "b": 10}
+
+
+def test_arrow_payloads(spark):
+    kind = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts_ms", T.LongType())])
+    good = files.encode_arrow([{"k": "a", "ts_ms": 1}, {"k": "b", "ts_ms": 2}], kind)
+    payloads = spark.createDataFrame([(bytearray(good),), (bytearray(b"junk"),), (None,)], "value binary")
+    assert sorted(tuple(r) for r in files.decode_arrow(payloads, kind).collect()) == [("a", 1), ("b", 2)]
+    other = files.encode_arrow([{"x": "a"}], T.StructType([T.StructField("x", T.StringType())]))
+    with pytest.raises(Exception, match="payload columns"):
+        files.decode_arrow(spark.createDataFrame([(bytearray(other),)], "value binary"), kind).collect()
+
+
+def test_parquet_in_and_out(spark, tmp_path):
+    df = spark.createDataFrame([(f"key_{b}_{r}", 100 * b + r, None if b == 2 else b % 2) for b in range(10) for r in range(100)], "k string, v long, p int")
+    write_parquet(df, f"{tmp_path}/out", "zstd", ["p"], max_rows_per_file=200)
+    back = files.parquet(spark, f"{tmp_path}/out")
+    assert back.count() == 1000 and set(back.columns) == {"k", "v", "p"} and back.where("p IS NULL").count() == 100
+    assert files.parquet(spark, f"{tmp_path}/out", regex=r"p_=1/").select("p").distinct().first()["p"] == 1
+    plan = files.parquet(spark, f"{tmp_path}/out").where("v > 5").select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:string,v:bigint>" in plan and "GreaterThan(v,5)" in plan
+    assert count_rows(df) == 1000
+    with pytest.raises(ValueError):
+        write_parquet(df, f"{tmp_path}/x", "rar")
+
+
+def test_arrow_schema():
+    kind = schema.struct_from_json({"fields": [{"name": "a", "nullable": False, "type": {"name": "int", "bitWidth": 32, "isSigned": True}}, {"name": "b", "nullable": True, "type": {"name": "floatingpoint", "precision": "DOUBLE"}}, {"name": "t", "type": {"name": "timestamp", "unit": "MILLISECOND"}}, {"name": "l", "type": {"name": "list"}, "children": [{"name": "item", "type": {"name": "utf8"}}]}, {"name": "u", "type": {"name": "int", "bitWidth": 32, "isSigned": False}}]})
+    assert kind.simpleString() == "struct<a:int,b:double,t:timestamp_ntz,l:array<string>,u:bigint>" and not kind["a"].nullable
+    with pytest.raises(ValueError):
+        schema.struct_from_json({"fields": [{"name": "a", "type": {"name": "union"}}]})
+
+
+def test_pipelines(spark, tmp_path):
+    gen = {"fields": {"timestamp": {"kind": "IncrementalTimestamp", "start": 1000, "step": 1}, "key": {"kind": "Key", "num_unique": 1}, "value": {"kind": "Values", "values": [1.0, 2.0]}}, "limit": 3000, "parallelism": 1}
+    sql = "SELECT timestamp, key, value, sum(value) OVER w AS s, count(value) OVER w AS n, top(value, 1) OVER w AS t FROM events WINDOW w AS (PARTITION BY key ORDER BY timestamp RANGE BETWEEN INTERVAL '2' SECOND PRECEDING AND CURRENT ROW)"
+    spec = PipelineBuilder().source("events", "datagen", **gen).sql(sql).sink("in_memory", keys=["timestamp"]).build()
+    again = PipelineSpec.from_json(spec.to_json())
+    assert again == spec or again.sql == spec.sql
+    store = run(spark, again)
+    rows = sorted(store.by_key.values(), key=lambda r: r["timestamp"])
+    values = [1.0 + n % 2 for n in range(3000)]
+    assert [r["s"] for r in rows] == [sum(values[max(0, n - 2000) : n + 1]) for n in range(3000)] and rows[-1]["n"] == 2001
+    ties = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0)], "s int, v double").selectExpr("s", "timestamp_seconds(1) AS ts", "'A' AS k", "v")
+    frame = "SELECT v, sum(v) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL '5' SECOND PRECEDING AND CURRENT ROW) AS s FROM t"
+    out = compile_query(spark, PipelineBuilder().source("t", "vector", data=ties).sql(frame).option(sequence="v").build())
+    assert [r["s"] for r in out.orderBy("v").collect()] == [1.0, 3.0, 6.0] and out.columns == ["v", "s"]
+    parquet = PipelineBuilder().source("events", "datagen", **gen).sql("SELECT key, count(*) AS n FROM events GROUP BY key").sink("parquet", path=f"{tmp_path}/o").build()
+    run(spark, parquet)
+    assert spark.read.parquet(f"{tmp_path}/o").first()["n"] == 3000
+    assert run(spark, PipelineBuilder().source("events", "datagen", **gen).sql("SELECT * FROM events WHERE value > 1").sink("count").build()) == 1500
+
+
+def test_specifications_are_checked():
+    with pytest.raises(ValueError, match="exists"):
+        PipelineBuilder().source("a", "parquet").source("a", "parquet")
+    for change in ({"mode": "later"}, {"mode": "request"}, {"tiles_ms": (60, 90)}):
+        with pytest.raises(ValueError):
+            PipelineBuilder().source("a", "parquet").sql("SELECT 1").option(**change).build()
+    with pytest.raises(ValueError, match="source is one of"):
+        PipelineBuilder().source("a", "carrier pigeon").sql("SELECT 1").build()
+
+
+def test_http_requests(spark):
+    events = timed(spark, A3).select("partition_key", "timestamp", "value").cache()
+    kind = T.StructType([T.StructField("partition_key", T.StringType(), False), T.StructField("ms", T.LongType(), False), T.StructField("value", T.DoubleType())])
+    made = request_function(events, ["partition_key"], "timestamp", [Feature("s", "sum", ("value",), 420_000 * MS)])
+    server = RequestServer(spark, kind, lambda r: made(r.withColumn("timestamp", F.timestamp_millis("ms"))), timeout_s=60).start()
+
+    def post(body, path="/request"):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.port}{path}", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=90) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, None
+
+    try:
+        status, body = post({"data": {"payload": [{"partition_key": "A", "ms": 350000, "value": 50.0}, {"partition_key": "Z", "ms": 1, "value": 2}]}})
+        assert status == 200 and [r["s"] for r in body["data"]] == [67.5, 2.0]
+        assert post({"rows": []})[0] == 400 and post({"data": {"payload": [{"ms": "x"}]}})[0] == 400 and post({}, "/other")[0] == 404
+        server.max_pending = 0
+        assert post({"data": {"payload": [{"partition_key": "A", "ms": 1}]}})[0] == 429
+    finally:
+        server.stop()
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_stream_equals_batch(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    batches = [[(1000, 1), (1000, 2), (2000, 3)], [(5000, 4)], [(1500, 99), (5000, 5), (7000, 6)], [(100000, 0)], [(100001, 0)]]
+    source = tmp_path / "in"
+    for n, rows in enumerate(batches):
+        timed(spark, rows).coalesce(1).write.parquet(f"{source}/b={n}")
+    stream = spark.readStream.schema("seq long, ms long, value double, partition_key string, timestamp timestamp, b int").option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = sliding_windows(stream, "partition_key", "timestamp", [StreamFeature("s", "sum", "value", 5000), StreamFeature("n", "count", "value", 5000)])
+    query = out.writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert not query.exception()
+    rows = sorted((r["ts_ms"], r["s"]) for r in spark.table("windows").collect() if r["ts_ms"] < 100000)
+    assert rows == [(1000, 1.0), (1000, 3.0), (2000, 6.0), (5000, 10.0), (7000, 13.0)]
+
+
+def test_running_reduction_and_session_settings(spark, tmp_path):
+    timed(spark, A3).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    store = MemoryStore(["partition_key"])
+    store.stream(relational.reduce_by(stream, ["partition_key"], "value"), f"{tmp_path}/c").processAllAvailable()
+    assert store.get("A")["sum"] == sum(v for _, v in A3)
+    for q in spark.streams.active:
+        q.stop()
+    assert session.configure(spark.builder)
