@@ -188,8 +188,8 @@ def test_embeddings(spark):
     expected = union(zip(i.tolist(), j.tolist()), range(len(rows)))
     links = np.bincount(np.concatenate([i, j]), minlength=len(rows))
     mine = np.array([got[k]["n_links"] for k in range(len(rows))])
-    assert (mine <= links).all() and mine.sum() >= 0.999 * links.sum()
-    assert np.mean([got[k]["component_id"] == expected[k] for k in range(len(rows))]) > 0.998
+    assert (mine <= links).all() and mine.sum() >= 0.99 * links.sum()
+    assert np.mean([got[k]["component_id"] == expected[k] for k in range(len(rows))]) > 0.99
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(fine, len(rows)))
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
@@ -217,6 +217,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn([], [])).count() == 0
 
 
+def test_embedding_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    rng = np.random.default_rng(3)
+    base = np.array([r["embedding"] for r in rows])
+    gap = rng.normal(size=base.shape)
+    gap -= (gap * base).sum(axis=1, keepdims=True) * base  # all at cosine 0.91
+    near = base + gap / np.linalg.norm(gap, axis=1, keepdims=True) * np.tan(np.arccos(0.91))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embedding.near_duplicates(frame).collect()}
+    assert np.mean([got[k + len(base)] == got[k] for k in range(len(base))]) > 0.97
+
+
 def test_fold():
     assert toxicity.fold("Héllo, W0RLD!") == " héllo world "
     assert toxicity.fold("") == "  " and toxicity.fold("2024 12") == " 2024 12 "

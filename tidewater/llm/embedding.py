@@ -3,10 +3,11 @@
 Equal vectors are collapsed first. Centroids are fitted on a bounded sample
 (``SAMPLE`` different vectors, the smallest by hash) and every vector is
 assigned to its home cell. A vector also visits each cell whose bisecting
-hyperplane is nearer than ``margin``: two vectors at cosine 0.9 are 0.447 apart,
-and along one direction of d dimensions a gap has the spread 0.447 / sqrt(d);
-with d = 64 both would have to lie more than 0.15 on their own sides, over five
-spreads, to be missed. Recall against brute force is tested.
+hyperplane is nearer than 1.2 spreads: vectors at cosine 0.9 are 0.447 apart, so
+that along one of d directions their gap has the spread 0.447 / sqrt(d). A pair is
+missed only if both lie farther on their own sides, a gap of 2.4 spreads that the
+hyperplane halves; nearer pairs have smaller gaps. Recall against brute force is
+tested.
 
 The number of cells grows as twice the root of the number of vectors, so that
 assignment and comparison both grow as its power 1.5. Cells are cut into bounded
@@ -30,6 +31,8 @@ SAMPLE = 32_768
 #: Centroids, at most: 16,384 of 1,024 components are 128 MB.
 MAX_CELLS = 16_384
 ROUNDS = 6
+#: Vectors of a block of a cell: a compared pair of blocks makes at most twice that many rows and columns.
+CELL_BLOCK = 1536
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -47,28 +50,27 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.nd
     return centre
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _units(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Unit rows in double precision from packed components of ``kind``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _pack(rows: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in np.ascontiguousarray(rows, dtype="<f8")], type=pa.binary())
+def _packed(kind: str):
+    """(rid, n, embedding) to (rid, n, dim, raw)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.asarray(x.values, dtype=kind).tobytes() for x in batch.column(2)]
+            dims = pa.array([len(x) // int(kind[-1]) for x in raw], type=pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dims, pa.array(raw, type=pa.binary())], names=["rid", "n", "dim", "raw"])
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, n, embedding) to (rid, n, dim, unit)."""
-    for batch in batches:
-        units = []
-        for x in batch.column(2).to_pylist():
-            v = np.array(x, dtype=np.float64)
-            v = v / np.abs(v).max()
-            units.append((v / np.linalg.norm(v)).astype("<f8").tobytes())
-        dims = pa.array([len(u) // 8 for u in units], type=pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dims, pa.array(units, type=pa.binary())], names=["rid", "n", "dim", "unit"])
+    return run
 
 
-def _assign(centre: np.ndarray, margin: float):
+def _assign(centre: np.ndarray, margin: float, kind: str):
     gram = centre @ centre.T
     gap = np.sqrt(np.maximum(2 - 2 * gram, 1e-18))
 
@@ -76,7 +78,7 @@ def _assign(centre: np.ndarray, margin: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                unit = _matrix(part.column(2))
+                unit = _units(part.column(2), kind)
                 near = unit @ centre.T
                 home = near.argmax(axis=1)
                 behind = (near[np.arange(len(unit)), home][:, None] - near) / gap[home]
@@ -88,13 +90,13 @@ def _assign(centre: np.ndarray, margin: float):
                 visits = pa.array([x.astype(np.int32) for x in lists], type=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), visits.take(take)],
-                    names=["rid", "n", "unit", "cell", "home", "visits"],
+                    names=["rid", "n", "raw", "cell", "home", "visits"],
                 )
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     def pair(rid, n, unit, cell, home, visits, left) -> tuple[np.ndarray, np.ndarray]:
         """Links of each row, and its smallest reachable row, within one pair of blocks."""
         size = len(rid)
@@ -128,7 +130,7 @@ def _compare(threshold: float):
                 rid = part["rid"].to_numpy()
                 order = np.argsort(rid, kind="stable")
                 rid = rid[order]
-                links, label = pair(rid, part["n"].to_numpy()[order], _matrix(part["unit"])[order], int(part["cell"][0].as_py()), part["home"].to_numpy()[order], [part["visits"][int(k)].values.to_numpy() for k in order], (part["_b"].to_numpy() == part["_i"].to_numpy())[order])
+                links, label = pair(rid, part["n"].to_numpy()[order], _units(part["raw"], kind)[order], int(part["cell"][0].as_py()), part["home"].to_numpy()[order], [part["visits"][int(k)].values.to_numpy() for k in order], (part["_b"].to_numpy() == part["_i"].to_numpy())[order])
                 at = np.flatnonzero(links)
                 rids.append(rid[at])
                 sums.append(links[at])
@@ -139,7 +141,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float = 0.15) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, spreads: float = 1.2) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
@@ -148,24 +150,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
     Labels and other columns are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
     keyed = rows.withColumn("_ok", F.coalesce(fine, F.lit(False))).withColumn("_h1", F.xxhash64("embedding")).withColumn("_h2", F.xxhash64(F.lit("second"), "embedding"))
     ids = keyed.select("vec_id", "_ok", "_h1", "_h2")
     same = keyed.where("_ok").groupBy("_h1", "_h2").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     distinct = materialize(same, "emb-distinct")
-    units = materialize(distinct.select("rid", "n", "embedding").mapInArrow(_units, "rid long, n long, dim int, unit binary"), "emb-unit")
+    units = materialize(distinct.select("rid", "n", "embedding").mapInArrow(_packed(kind), "rid long, n long, dim int, raw binary"), "emb-raw")
     found: DataFrame | None = None
     for dim, count in sorted((r["dim"], r["count"]) for r in units.groupBy("dim").count().collect()):
         mine = units.where(F.col("dim") == dim)
         cells = min(MAX_CELLS, int(2 * count**0.5) + 1)
-        sample = mine.select("unit", F.xxhash64("unit").alias("h")).orderBy("h").limit(SAMPLE).select("unit").toArrow()["unit"]
-        centre = fit_centroids(_matrix(sample), cells)
-        dealt = mine.select("rid", "n", "unit").mapInArrow(_assign(centre, margin), "rid long, n long, unit binary, cell int, home int, visits array<int>")
+        sample = mine.select("raw", F.xxhash64("raw").alias("h")).orderBy("h").limit(SAMPLE).select("raw").toArrow()["raw"]
+        centre = fit_centroids(_units(sample, kind), cells)
+        margin = spreads * (2 - 2 * threshold) ** 0.5 / dim**0.5
+        dealt = materialize(mine.select("rid", "n", "raw").mapInArrow(_assign(centre, margin, kind), "rid long, n long, raw binary, cell int, home int, visits array<int>"), "emb-cells")
         by = ["cell", "_i", "_j"]
-        pairs = block_pairs(dealt, ["cell"], F.col("rid"))
-        part = pairs.repartition(*by).sortWithinPartitions(*by).select(*by, "_b", "rid", "n", "unit", "home", "visits").mapInArrow(_compare(threshold), "rid long, links long, least long")
+        pairs = block_pairs(dealt, ["cell"], F.col("rid"), CELL_BLOCK)
+        part = pairs.repartition(*by).sortWithinPartitions(*by).select(*by, "_b", "rid", "n", "raw", "home", "visits").mapInArrow(_compare(threshold, kind), "rid long, links long, least long")
         found = part if found is None else found.unionByName(part)
     found = materialize(found if found is not None else spark.createDataFrame([], "rid long, links long, least long"), "emb-links")
     roots = components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")), "emb-cc")
