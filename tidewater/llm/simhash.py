@@ -31,6 +31,8 @@ from .common import arrow_map, block_pairs, components, materialize, sorted_grou
 
 BYTES, MAX_BITS = 8, 3
 MIN_SHARED = BYTES - MAX_BITS
+#: Ids of later copies up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Groups up to this size are compared by shifts of the whole sorted batch.
 SMALL = 12
 
@@ -153,4 +155,6 @@ def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     or none: none if one of them is a later copy.
     """
     gone = near_duplicates(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone, "simhash-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
