@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Deleted line numbers, 4 bytes each, up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_NUMBERS = 2_000_000
 #: What a line with a word has.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -98,6 +100,8 @@ def dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     lines = line_table(keyed).repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
     gone = repeats(lines, min_words).groupBy("doc_id", "th").agg(F.collect_set("nth").alias("_gone"))
     gone = materialize(gone, "lines-gone").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
+    numbers = gone.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0
+    gone = F.broadcast(gone) if numbers <= BROADCAST_NUMBERS else gone
     joined = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_th"]), "left")
     kept = F.array_join(_without(docs["text"].cast("string"), gone["_gone"]), "\n")
     text = F.when(gone["_gone"].isNull(), docs["text"].cast("string")).otherwise(kept)
