@@ -16,6 +16,8 @@ window starts), and the lines of the later place are deleted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +105,24 @@ def dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     numbers = gone.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0
     gone = F.broadcast(gone) if numbers <= BROADCAST_NUMBERS else gone
     joined = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_th"]), "left")
-    kept = F.array_join(_without(docs["text"].cast("string"), gone["_gone"]), "\n")
+    kept = _without(docs["text"].cast("string"), gone["_gone"])
     text = F.when(gone["_gone"].isNull(), docs["text"].cast("string")).otherwise(kept)
     others = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_deleted"]
     return joined.select(*others, F.coalesce(F.size(gone["_gone"]), F.lit(0)).alias("n_deleted"))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once although lambdas inside ``body`` use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _without(text: Column, gone: Column) -> Column:
-    """Lines of ``text`` but for the ``gone``-th ones with a word."""
-    lines = F.split(text, "\n", -1)
-    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
-    dropped = F.transform(gone, lambda n: F.get(places, n - 1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.transform(kept, lambda i: F.get(lines, i))
+    """``text`` without the ``gone``-th of its lines with a word."""
+
+    def of_lines(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+        dropped = _bind(places, lambda p: F.transform(gone, lambda n: F.get(p, n - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return _bind(F.split(text, "\n", -1), of_lines)
