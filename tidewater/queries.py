@@ -89,10 +89,10 @@ PLAIN: dict[str, str | tuple[str, str]] = {
     "rollup": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id)",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())",
-    "ranking": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events",
-    "top_k_per_group": "SELECT event_type, event_id, rn FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn FROM events) t WHERE rn <= 3",
+    "ranking": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS rn, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events",
+    "top_k_per_group": "SELECT event_type, event_id, rn FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS BIGINT) AS rn FROM events) t WHERE rn <= 3",
     "rows_frame": (f"SELECT event_id, sum({V}) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s FROM events", f"SELECT event_id, CAST(sum({V}) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM events"),
-    "scalar_text": "SELECT event_id, upper(event_type) AS u, length(event_type) AS n, substring(event_type, 1, 3) AS s, concat(event_type, '-', CAST(user_id AS STRING)) AS k, replace(event_type, 'e', '') AS r, lpad(event_type, 10, '*') AS p FROM events",
+    "scalar_text": "SELECT event_id, upper(event_type) AS u, CAST(length(event_type) AS BIGINT) AS n, substring(event_type, 1, 3) AS s, concat(event_type, '-', CAST(user_id AS STRING)) AS k, replace(event_type, 'e', '') AS r, lpad(event_type, 10, '*') AS p FROM events",
     "scalar_number": ("SELECT event_id, abs(value - 50) AS a, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, user_id % 7 AS m, user_id div 7 AS d, greatest(value, 50) AS g, coalesce(nullif(user_id, 3), -1) AS z FROM events", "SELECT event_id, abs(value - 50) AS a, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, user_id % 7 AS m, user_id // 7 AS d, greatest(value, 50) AS g, coalesce(nullif(user_id, 3), -1) AS z FROM events"),
     "scalar_time": ("SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, CAST(extract(day FROM ts) AS BIGINT) AS d, ts + INTERVAL '1' HOUR AS later FROM events", "SELECT event_id, date_trunc('hour', ts) AS h, CAST(extract(day FROM ts) AS BIGINT) AS d, ts + INTERVAL 1 HOUR AS later FROM events"),
     "scalar_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
@@ -116,7 +116,7 @@ PLAIN |= {
     "win_avg_1h": _windowed(f"avg(v) OVER {LAST_1H} AS m"),
     "win_min_max_1d": _windowed(f"min(v) OVER {LAST_1D} AS lo, max(v) OVER {LAST_1D} AS hi"),
     "win_stddev_7d": _windowed(f"round(stddev_samp(v) OVER {LAST_7D}, 4) AS s, round(stddev_pop(v) OVER {LAST_7D}, 4) AS p"),
-    "win_var_7d": _windowed(f"round(var_samp(v) OVER {LAST_7D}, 2) AS s, round(var_pop(v) OVER {LAST_7D}, 2) AS p"),
+    "win_var_7d": _windowed(f"round(var_samp(v) OVER {LAST_7D} / 1000000, 3) AS s, round(var_pop(v) OVER {LAST_7D} / 1000000, 3) AS p"),
     "win_multi_frame": _windowed(f"count(*) OVER {LAST_1H} AS n_1h, CAST(sum(v) OVER {LAST_7D} AS BIGINT) AS s_7d, avg(v) OVER {LAST_1D} AS m_1d"),
     "win_expr_args": _windowed(f"CAST(sum(v * 10 + 1) OVER {LAST_1D} AS BIGINT) AS s"),
     "win_filter_before": _windowed(f"CAST(sum(v) OVER {LAST_7D} AS BIGINT) AS s", " WHERE event_type = 'purchase'"),
