@@ -15,6 +15,7 @@ from tidewater.operators import relational
 from tidewater.operators.request import request_features
 from tidewater.operators.tiling import check_tiles, cover, tiled_features
 from tidewater.operators.window import Feature, window_features
+from tidewater.plans.features import parse
 from tidewater.plans.pipeline import compile_query, request_function, run
 from tidewater.plans.spec import PipelineBuilder, PipelineSpec
 from tidewater.plans.sqlrewrite import exact_frames, rewrite
@@ -291,6 +292,49 @@ def test_specifications_are_checked():
         PipelineBuilder().source("a", "carrier pigeon").sql("SELECT 1").build()
 
 
+def test_one_statement_serves_three_modes(spark, rocks, tmp_path):
+    sql = "SELECT partition_key, timestamp, sum(value) OVER w AS s, count(*) OVER w AS n FROM e WHERE value < 90 WINDOW w AS (PARTITION BY partition_key ORDER BY timestamp RANGE BETWEEN INTERVAL '5' SECOND PRECEDING AND CURRENT ROW)"
+    rows = [(1000, 1), (1000, 2), (2000, 3), (7000, 4), (7500, 99), (9000, 5)]
+    events = timed(spark, rows)
+    batch = compile_query(spark, PipelineBuilder().source("e", "vector", data=events).sql(sql).option(sequence="seq").build())
+    expected = [1.0, 3.0, 6.0, 7.0, 9.0]
+    assert sorted(r["s"] for r in batch.collect()) == sorted(expected)
+    ask = run(spark, PipelineBuilder().source("e", "vector", data=events).sql(sql).mode("request").option(request={"exclude_current_row": True}).build())
+    got = ask(timed(spark, [(2000, 0), (8000, 0), (50000, 0)])).orderBy("ms").collect()
+    assert [(r["s"], r["n"]) for r in got] == [(6.0, 3), (4.0, 1), (None, 0)]
+    for n, part in enumerate((rows, [(100_000, 0)], [(100_001, 0)])):
+        timed(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+    fields = [{"name": "value", "type": {"name": "floatingpoint", "precision": "DOUBLE"}}, {"name": "partition_key", "type": {"name": "utf8"}}, {"name": "timestamp", "type": {"name": "timestamp", "timezone": "UTC"}}]
+    spec = PipelineBuilder().source("e", "parquet", {"fields": fields}, path=f"{tmp_path}/in").sql(sql).sink("in_memory").mode("streaming").build()
+    from dataclasses import replace
+
+    store = run(spark, replace(spec, checkpoint=replace(spec.checkpoint, location=f"{tmp_path}/c")))
+    store.query.processAllAvailable()
+    store.query.stop()
+    assert sorted(r["s"] for r in store.rows if r["ts_ms"] < 50_000) == sorted(expected)
+    for bad in ("SELECT 1", "SELECT rank() OVER (ORDER BY x) AS r FROM e", "SELECT sum(v) OVER w FROM e WINDOW w AS (ORDER BY t)"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_sliced_windows_equal_whole_ones(spark):
+    rng = random.Random(2)
+    df = timed(spark, sorted((rng.randrange(0, 60_000), rng.randrange(9)) for _ in range(500)))
+    made = [Feature("s", "sum", ("value",), 4000 * MS), Feature("t", "topn_frequency", ("value", "2"), 9000 * MS)]
+    whole = window_features(df, ["partition_key"], "timestamp", made, "seq")
+    sliced = window_features(df, ["partition_key"], "timestamp", made, "seq", slice_us=10_000 * MS)
+    assert sliced.columns == whole.columns and sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+    with pytest.raises(ValueError, match="shorter"):
+        window_features(df, ["partition_key"], "timestamp", made, "seq", slice_us=10)
+
+
+def test_json_arrays(spark):
+    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    rows = files.from_json_array(spark.createDataFrame([('[{"a": 1, "b": "x"}, {"a": 2}]',), ("junk",)], "value string"), kind)
+    assert sorted(map(tuple, rows.collect()), key=repr) == [(1, "x"), (2, None)]
+    assert json.loads(files.to_json_array(rows.where("a = 2"), "a").first()["value"]) == [{"a": 2, "b": None}]
+
+
 def test_http_requests(spark):
     events = timed(spark, A3).select("partition_key", "timestamp", "value").cache()
     kind = T.StructType([T.StructField("partition_key", T.StringType(), False), T.StructField("ms", T.LongType(), False), T.StructField("value", T.DoubleType())])

@@ -22,7 +22,7 @@ from ..functions.registry import NAMES, WINDOW_AGGREGATES, expression
 #: Bits below the time: ranks of peers up to 2,047, and the spare bit.
 TIE_BITS = 12
 MAX_TIES = 1 << (TIE_BITS - 1)
-CURSOR = "__cursor"
+CURSOR, SLICE = "__cursor", "__slice"
 
 
 @dataclass(frozen=True)
@@ -69,11 +69,25 @@ def aggregate_text(function: str, args: list[str], over: str) -> str:
     return f"{function}({', '.join(args) or '*'}) OVER {over}"
 
 
-def window_features(df: DataFrame, keys: list[str], time: str, features: list[Feature], sequence: str | None = None) -> DataFrame:
+def window_features(df: DataFrame, keys: list[str], time: str, features: list[Feature], sequence: str | None = None, slice_us: int | None = None) -> DataFrame:
     """All input columns, then one column per feature, one row per input row.
 
     A null time has no place in any frame: such rows are left out.
+
+    With ``slice_us``, at least the longest window, a key is cut into slices of
+    time that different tasks take: each row goes to its own slice and, as
+    history only, to the next. Rows are shuffled twice for that, and a key that
+    holds a third of all rows no longer lands in one task.
     """
-    placed = with_cursor(df.where(F.col(time).isNotNull()), keys, time, sequence)
-    columns = [F.expr(aggregate_text(f.function, list(f.args), frame_text(keys, f.length_us))).alias(f.name) for f in features]
-    return placed.select("*", *columns).drop(CURSOR)
+    rows = df.where(F.col(time).isNotNull())
+    by = list(keys)
+    if slice_us is not None:
+        if slice_us < max(f.length_us for f in features):
+            raise ValueError("a slice is shorter than the longest window")
+        own = F.floor(micros(F.col(time), dict(df.dtypes)[time]) / slice_us)
+        rows = rows.withColumn("__own", own).withColumn(SLICE, F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+        by.append(SLICE)
+    placed = with_cursor(rows, by, time, sequence)
+    columns = [F.expr(aggregate_text(f.function, list(f.args), frame_text(by, f.length_us))).alias(f.name) for f in features]
+    out = placed.select("*", *columns)
+    return (out.where(F.col(SLICE) == F.col("__own")) if slice_us is not None else out).drop(CURSOR, SLICE, "__own")

@@ -13,6 +13,8 @@ from ..operators.window import CURSOR, Feature, with_cursor
 from ..schema import struct_from_json
 from ..sinks.writers import MemoryStore, count_rows, write_parquet
 from ..sources import datagen, files
+from ..streaming.window import StreamFeature, sliding_windows
+from .features import parse
 from .spec import PipelineSpec, SourceSpec
 from .sqlrewrite import exact_frames, rewrite
 
@@ -60,10 +62,40 @@ def _watermarked(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     return df.withWatermark(time, f"{spec.event_time.watermark.out_of_orderness_ms} milliseconds") if time else df
 
 
-def run(spark: SparkSession, spec: PipelineSpec) -> DataFrame | StreamingQuery | MemoryStore | int | None:
-    """Runs a batch or streaming specification into its sink."""
+def compile_stream(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
+    """A streaming statement: per-row windows become a stateful processor, all else is Spark's own streaming plan.
+
+    The watermark is put on the column that the frames order by, at its source.
+    """
+    if " OVER " not in spec.sql.upper():
+        return compile_query(spark, spec, streaming=True)
+    parts = parse(spec.sql)
+    source = next(s for s in spec.sources if s.name == parts.source)
+    rows = load(spark, source, True)
+    rows = rows.where(parts.where) if parts.where else rows
+    for n, f in enumerate(parts.features):
+        rows = rows.withColumn(f"arg{n}", F.expr(f.args[0] if f.args else "1"))
+    made = [StreamFeature(f.name, f.function, f"arg{n}", f.length_us // 1000) for n, f in enumerate(parts.features)]
+    if len(parts.keys) != 1:
+        raise ValueError("a streaming window has one key column")
+    out = sliding_windows(rows, parts.keys[0], parts.time, made, spec.event_time.watermark.out_of_orderness_ms, spec.event_time.allowed_lateness_ms)
+    return out.drop(*(f"arg{n}" for n in range(len(made))))
+
+
+def compile_request(spark: SparkSession, spec: PipelineSpec) -> Callable[[DataFrame], DataFrame]:
+    """The statement's features as of requests: a function from requests to answers."""
+    parts = parse(spec.sql)
+    events = load(spark, next(s for s in spec.sources if s.name == parts.source), False)
+    events = events.where(parts.where) if parts.where else events
+    return request_function(events, list(parts.keys), parts.time, list(parts.features), bool((spec.request or {}).get("exclude_current_row")))
+
+
+def run(spark: SparkSession, spec: PipelineSpec) -> DataFrame | StreamingQuery | MemoryStore | int | Callable[[DataFrame], DataFrame] | None:
+    """Runs a batch or streaming specification into its sink; a request specification gives its answering function."""
+    if spec.mode == "request":
+        return compile_request(spark, spec)
     streaming = spec.mode == "streaming"
-    df = compile_query(spark, spec, streaming)
+    df = compile_stream(spark, spec) if streaming else compile_query(spark, spec)
     sink = spec.sink
     if sink is None:
         return df

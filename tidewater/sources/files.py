@@ -58,6 +58,16 @@ def decode_arrow(payloads: DataFrame, schema: T.StructType) -> DataFrame:
     return payloads.mapInArrow(run, schema)
 
 
+def from_json_array(payloads: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of ``payloads(value string)``, each a JSON array of objects; unreadable ones are skipped."""
+    return payloads.select(F.inline(F.from_json("value", T.ArrayType(schema))))
+
+
+def to_json_array(df: DataFrame, *keys: str) -> DataFrame:
+    """One JSON array per key, nulls written."""
+    return df.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def encode_arrow(rows: list[dict], schema: T.StructType) -> bytes:
     table = pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
     sink = pa.BufferOutputStream()
