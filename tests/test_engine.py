@@ -375,7 +375,7 @@ def test_stream_equals_batch(spark, rocks, tmp_path):
     for n, rows in enumerate(batches):
         timed(spark, rows).coalesce(1).write.parquet(f"{source}/b={n}")
     stream = spark.readStream.schema("seq long, ms long, value double, partition_key string, timestamp timestamp, b int").option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = sliding_windows(stream, "partition_key", "timestamp", [StreamFeature("s", "sum", "value", 5000), StreamFeature("n", "count", "value", 5000)])
+    out = sliding_windows(stream, "partition_key", "timestamp", [StreamFeature("s", "sum", ("value",), 5000), StreamFeature("n", "count", (), 5000)])
     query = out.writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert not query.exception()
@@ -383,6 +383,46 @@ def test_stream_equals_batch(spark, rocks, tmp_path):
     assert rows == [(1000, 1.0), (1000, 3.0), (2000, 6.0), (5000, 10.0), (7000, 13.0)]
 
 
+def test_frame_evaluation_equals_sql(spark):
+    from tidewater.functions import WINDOW_AGGREGATES
+    from tidewater.streaming.evaluate import evaluate
+
+    rng = random.Random(4)
+    for _ in range(4):
+        rows = [(rng.choice([None, *(x / 4 for x in range(12))]), rng.choice([None, True, False, True]), rng.choice([None, "a", "b", "c"])) for _ in range(rng.randrange(1, 25))]
+        df = spark.createDataFrame(rows, "v double, c boolean, k string")
+        sql, own = {}, {}
+        for name, arity in NAMES.items():
+            args = {1: ["v"], 2: ["v", "2"], 3: ["v", "c", "k"], 4: ["v", "c", "k", "2"]}[arity]
+            args = ["v", "c"] if name.endswith("_where") and arity == 2 else ["v", "k"] if name.endswith("_cate") and arity == 2 else args
+            sql[name] = F.expr(expression(name, args)).alias(name)
+            own[name] = evaluate(name, [tuple({"v": v, "c": c, "k": k, "2": 2}[a] for a in args) for v, c, k in rows])
+        for name in WINDOW_AGGREGATES:
+            sql[name] = F.expr(f"{name}(v)").alias(name)
+            own[name] = evaluate(name, [(v,) for v, _, _ in rows])
+        got = df.agg(*sql.values()).first()
+        for name in sql:
+            assert got[name] == own[name] or got[name] == pytest.approx(own[name]), name
+
+
+def test_streaming_statement_with_custom_aggregates(spark, rocks, tmp_path):
+    from dataclasses import replace
+
+    rows = [(1000, 1), (1000, 2), (2000, 3), (7000, 4), (9000, 5)]
+    for n, part in enumerate((rows, [(100_000, 0)], [(100_001, 0)])):
+        timed(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+    fields = [{"name": "value", "type": {"name": "floatingpoint", "precision": "DOUBLE"}}, {"name": "partition_key", "type": {"name": "utf8"}}, {"name": "timestamp", "type": {"name": "timestamp", "timezone": "UTC"}}]
+    frame = "(PARTITION BY partition_key ORDER BY timestamp RANGE BETWEEN INTERVAL '6' SECOND PRECEDING AND CURRENT ROW)"
+    sql = f"SELECT top(value, 2) OVER {frame} AS t, sum_cate_where(value, value > 1, partition_key) OVER {frame} AS c, top1_ratio(value) OVER {frame} AS r, stddev_pop(value) OVER {frame} AS d FROM e"
+    spec = PipelineBuilder().source("e", "parquet", {"fields": fields}, path=f"{tmp_path}/in").sql(sql).sink("in_memory").mode("streaming").build()
+    store = run(spark, replace(spec, checkpoint=replace(spec.checkpoint, location=f"{tmp_path}/c")))
+    store.query.processAllAvailable()
+    store.query.stop()
+    batch = compile_query(spark, PipelineBuilder().source("e", "vector", data=timed(spark, rows)).sql(sql).option(sequence="seq").build())
+    mine = sorted((r["t"], r["c"], r["r"], r["d"]) for r in store.rows if r["ts_ms"] < 50_000)
+    assert mine == sorted(map(tuple, batch.collect())) and len(mine) == 5
+
+
 def test_running_reduction_and_session_settings(spark, tmp_path):
     timed(spark, A3).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")

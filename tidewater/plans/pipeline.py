@@ -73,13 +73,13 @@ def compile_stream(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
     source = next(s for s in spec.sources if s.name == parts.source)
     rows = load(spark, source, True)
     rows = rows.where(parts.where) if parts.where else rows
-    for n, f in enumerate(parts.features):
-        rows = rows.withColumn(f"arg{n}", F.expr(f.args[0] if f.args else "1"))
-    made = [StreamFeature(f.name, f.function, f"arg{n}", f.length_us // 1000) for n, f in enumerate(parts.features)]
+    arguments = {a: f"arg{n}" for n, a in enumerate(dict.fromkeys(a for f in parts.features for a in f.args))}
+    rows = rows.withColumns({name: F.expr(a) for a, name in arguments.items()})
+    made = [StreamFeature(f.name, f.function, tuple(arguments[a] for a in f.args), f.length_us // 1000) for f in parts.features]
     if len(parts.keys) != 1:
         raise ValueError("a streaming window has one key column")
     out = sliding_windows(rows, parts.keys[0], parts.time, made, spec.event_time.watermark.out_of_orderness_ms, spec.event_time.allowed_lateness_ms)
-    return out.drop(*(f"arg{n}" for n in range(len(made))))
+    return out.drop(*arguments.values())
 
 
 def compile_request(spark: SparkSession, spec: PipelineSpec) -> Callable[[DataFrame], DataFrame]:

@@ -1,14 +1,16 @@
 """Per-row sliding windows on a stream: a row is emitted once the watermark reaches its time.
 
-Rows of a key are kept by (time, sequence) in a map state, one entry a row, so a
-batch reads only what its frames reach. A row whose time is not past the
-watermark is late and dropped; timers at the rows' times emit them in order,
-each over the rows from ``length`` before it up to itself. State older than the
+Rows of a key are kept by (time, sequence) in a map state, with the features'
+arguments only. A row whose time is not past the watermark is late and dropped.
+Timers at the rows' times wake a key; the first that is due emits all rows the
+watermark has passed, in order, each over the rows from ``length`` before it up
+to itself, so that a key's state is read once a batch. State older than the
 longest window and ``lateness`` behind the watermark is removed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,74 +19,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.registry import NAMES, WINDOW_AGGREGATES
+from .evaluate import evaluate, result_type
+
 
 @dataclass(frozen=True)
 class StreamFeature:
-    """``function`` (sum, count, avg, min, max) of column ``value`` over the last ``length_ms``."""
+    """``function`` of the columns ``args`` over the last ``length_ms``."""
 
     name: str
     function: str
-    value: str
+    args: tuple[str, ...]
     length_ms: int
 
 
-_PLAIN = {
-    "sum": lambda xs: sum(xs) if xs else None,
-    "count": lambda xs: float(len(xs)),
-    "avg": lambda xs: sum(xs) / len(xs) if xs else None,
-    "min": lambda xs: min(xs) if xs else None,
-    "max": lambda xs: max(xs) if xs else None,
-}
-
-
 class SlidingWindows(StatefulProcessor):
-    def __init__(self, key: str, features: list[StreamFeature], lateness_ms: int):
-        self.key, self.features, self.lateness_ms = key, features, lateness_ms
-        self.values = list(dict.fromkeys(f.value for f in features))
+    def __init__(self, key: str, features: list[StreamFeature], values: dict[str, str], lateness_ms: int):
+        self.key, self.features, self.values, self.lateness_ms = key, features, values, lateness_ms
         self.longest = max(f.length_ms for f in features)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        columns = ", ".join(f"v{n} double" for n in range(len(self.values)))
-        self.rows = handle.getMapState("rows", "ts bigint, seq bigint", columns)
-        self.next = handle.getValueState("next", "n bigint")
+        self.rows = handle.getMapState("rows", "ts bigint, seq bigint", ", ".join(["present boolean", *(f"v{n} {t}" for n, t in enumerate(self.values.values()))]))
+        self.next = handle.getValueState("next", "n bigint, emitted bigint")
+
+    def _native(self, x, kind: str):
+        if x is None or pd.isna(x):
+            return None
+        return {"double": float, "float": float, "bigint": int, "int": int, "boolean": bool}.get(kind, str)(x)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        found = self.next.get()
-        n = found[0] if found else 0
+        n, emitted = self.next.get() or (0, -1)
         times = set()
         for pdf in rows:
-            if pdf.empty:  # a key without new rows
-                continue
             for ts, *values in pdf[["tw_ms", *self.values]].itertuples(index=False):
                 if ts <= watermark:
                     continue
-                self.rows.updateValue((int(ts), n), tuple(None if pd.isna(v) else float(v) for v in values))
+                self.rows.updateValue((int(ts), n), (True, *(self._native(v, t) for v, t in zip(values, self.values.values()))))
                 times.add(int(ts))
                 n += 1
-        self.next.update((n,))
+        self.next.update((n, emitted))
         for ts in times:
             self.handle.registerTimer(ts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted(((k[0], k[1]), v) for k, v in self.rows.iterator())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        n, emitted = self.next.get() or (0, -1)
+        if expiredTimerInfo.getExpiryTimeInMs() <= emitted:
+            return
+        held = sorted(((k[0], k[1]), v[1:]) for k, v in self.rows.iterator())
+        times = [k[0] for k, _ in held]
+        places = {c: k for k, c in enumerate(self.values)}
         out = []
-        for (ts, seq), values in held:
-            if ts != due:
+        for at, ((ts, _), values) in enumerate(held):
+            if not emitted < ts <= watermark:
                 continue
             row = [key[0], ts, *values]
             for f in self.features:
-                at = self.values.index(f.value)
-                xs = [v[at] for (t, s), v in held if ts - f.length_ms <= t and (t, s) <= (ts, seq) and v[at] is not None]
-                row.append(_PLAIN[f.function](xs))
+                frame = held[bisect_left(times, ts - f.length_ms) : at + 1]
+                row.append(evaluate(f.function, [tuple(v[places[a]] for a in f.args) for _, v in frame]))
             out.append(row)
-        floor = due - self.longest - self.lateness_ms
-        for (ts, seq), _ in held:
-            if ts < floor:
-                self.rows.removeKey((ts, seq))
+        self.next.update((n, watermark))
+        floor = watermark - self.longest - self.lateness_ms
+        for k, _ in held:
+            if k[0] < floor:
+                self.rows.removeKey(k)
         if out:
             yield pd.DataFrame(out, columns=[self.key, "ts_ms", *self.values, *(f.name for f in self.features)])
 
@@ -93,13 +94,14 @@ class SlidingWindows(StatefulProcessor):
 
 
 def sliding_windows(stream: DataFrame, key: str, time: str, features: list[StreamFeature], out_of_orderness_ms: int = 0, lateness_ms: int = 0) -> DataFrame:
-    """A stream of (key, ts_ms, values, features); needs the RocksDB state store."""
+    """A stream of (key, ts_ms, arguments, features); needs the RocksDB state store."""
     kinds = dict(stream.dtypes)
-    unknown = [f.function for f in features if f.function not in _PLAIN]
+    unknown = [f.function for f in features if f.function not in NAMES and f.function not in WINDOW_AGGREGATES]
     if unknown:
-        raise ValueError(f"no streaming form of {unknown}")
-    values = list(dict.fromkeys(f.value for f in features))
-    slim = stream.select(key, F.col(time).cast("timestamp").alias("tw_time"), *(F.col(v).cast("double").alias(v) for v in values))
+        raise ValueError(f"unsupported window aggregates {unknown}")
+    values = {a: kinds[a] for a in dict.fromkeys(a for f in features for a in f.args)}
+    slim = stream.select(key, F.col(time).cast("timestamp").alias("tw_time"), *values)
     marked = slim.withWatermark("tw_time", f"{out_of_orderness_ms} milliseconds").withColumn("tw_ms", F.unix_millis("tw_time"))
-    schema = ", ".join([f"{key} {kinds[key]}", "ts_ms long", *(f"{v} double" for v in values), *(f"{f.name} double" for f in features)])
-    return marked.groupBy(key).transformWithStateInPandas(SlidingWindows(key, features, lateness_ms), schema, "append", "EventTime")
+    made = [f"{f.name} {result_type(f.function, values[f.args[0]] if f.args else None)}" for f in features]
+    schema = ", ".join([f"{key} {kinds[key]}", "ts_ms long", *(f"{v} {t}" for v, t in values.items()), *made])
+    return marked.groupBy(key).transformWithStateInPandas(SlidingWindows(key, features, values, lateness_ms), schema, "append", "EventTime")
