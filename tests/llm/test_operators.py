@@ -540,3 +540,18 @@ def test_queries_run(spark, name):
     if name not in ("op6_chat_snapshots", "op8_best_fit", "op9_mix_ipf"):
         assert rows == spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert rows
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_equal_sql(spark, name, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, f"/root/testdata/{sf}")
+    expected = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in expected.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected.fetchall())
