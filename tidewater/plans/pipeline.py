@@ -65,21 +65,32 @@ def _watermarked(df: DataFrame, spec: PipelineSpec) -> DataFrame:
 def compile_stream(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
     """A streaming statement: per-row windows become a stateful processor, all else is Spark's own streaming plan.
 
-    The watermark is put on the column that the frames order by, at its source.
+    Columns come out as the batch has them, in the statement's order. The watermark
+    is put on the column that the frames order by, at its source.
     """
     if " OVER " not in spec.sql.upper():
         return compile_query(spark, spec, streaming=True)
     parts = parse(spec.sql)
     source = next(s for s in spec.sources if s.name == parts.source)
-    rows = load(spark, source, True)
+    rows = load(spark, source, True).alias(parts.alias or parts.source)
     rows = rows.where(parts.where) if parts.where else rows
-    arguments = {a: f"arg{n}" for n, a in enumerate(dict.fromkeys(a for f in parts.features for a in f.args))}
-    rows = rows.withColumns({name: F.expr(a) for a, name in arguments.items()})
-    made = [StreamFeature(f.name, f.function, tuple(arguments[a] for a in f.args), f.length_us // 1000) for f in parts.features]
-    if len(parts.keys) != 1:
-        raise ValueError("a streaming window has one key column")
-    out = sliding_windows(rows, parts.keys[0], parts.time, made, spec.event_time.watermark.out_of_orderness_ms, spec.event_time.allowed_lateness_ms)
-    return out.drop(*arguments.values())
+    plain = set(rows.columns)
+    arguments = {a: f"__arg{n}" for n, a in enumerate(dict.fromkeys(a for f in parts.features for a in f.args))}
+    made = [StreamFeature(f"__f{n}", f.function, tuple(arguments[a] for a in f.args), f.length_us // 1000) for n, f in enumerate(parts.features)]
+    # Selected columns, in the statement's order: those of the source as they are, expressions under a name of their own.
+    selected, names, expressions = [], iter(made), {}
+    for item in parts.items:
+        if isinstance(item, Feature):
+            selected.append((next(names).name, item.name))
+            continue
+        for name in rows.selectExpr(item).columns:
+            own = name if item in ("*", name) and name in plain else f"__c{len(expressions)}"
+            if own != name:
+                expressions[own] = item
+            selected.append((own, name))
+    rows = rows.withColumns({name: F.expr(a) for a, name in arguments.items()} | {own: F.expr(item) for own, item in expressions.items()})
+    out = sliding_windows(rows, list(parts.keys), parts.time, made, spec.event_time.watermark.out_of_orderness_ms, spec.event_time.allowed_lateness_ms, tuple(own for own, _ in selected if own in rows.columns))
+    return out.select(*(F.col(own).alias(name) for own, name in selected))
 
 
 def compile_request(spark: SparkSession, spec: PipelineSpec) -> Callable[[DataFrame], DataFrame]:

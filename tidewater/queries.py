@@ -95,6 +95,15 @@ PLAIN: dict[str, str | tuple[str, str]] = {
     "scalar_text": "SELECT event_id, upper(event_type) AS u, CAST(length(event_type) AS BIGINT) AS n, substring(event_type, 1, 3) AS s, concat(event_type, '-', CAST(user_id AS STRING)) AS k, replace(event_type, 'e', '') AS r, lpad(event_type, 10, '*') AS p FROM events",
     "scalar_number": ("SELECT event_id, abs(value - 50) AS a, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, user_id % 7 AS m, user_id div 7 AS d, greatest(value, 50) AS g, coalesce(nullif(user_id, 3), -1) AS z FROM events", "SELECT event_id, abs(value - 50) AS a, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, user_id % 7 AS m, user_id // 7 AS d, greatest(value, 50) AS g, coalesce(nullif(user_id, 3), -1) AS z FROM events"),
     "scalar_time": ("SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, CAST(extract(day FROM ts) AS BIGINT) AS d, ts + INTERVAL '1' HOUR AS later FROM events", "SELECT event_id, date_trunc('hour', ts) AS h, CAST(extract(day FROM ts) AS BIGINT) AS d, ts + INTERVAL 1 HOUR AS later FROM events"),
+    "scalar_case": "SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS c, nullif(event_type, 'view') AS n, coalesce(nullif(event_type, 'view'), 'none') AS d, least(user_id, 10) AS l, CASE WHEN nullif(user_id, 3) > 5 AND value > 50 THEN 'a' WHEN nullif(user_id, 3) IS NULL THEN 'b' ELSE 'c' END AS t FROM events",
+    "scalar_logic": "SELECT event_id, NOT (value > 50) AS a, nullif(user_id, 3) > 5 OR value > 90 AS b, nullif(user_id, 3) IS DISTINCT FROM 4 AS c, event_type LIKE 'c%k' AS d, event_type ILIKE 'VIEW' AS e, event_type NOT IN ('click', 'view') AS f, value NOT BETWEEN 10 AND 90 AS g FROM events",
+    "scalar_math": ("SELECT event_id, round(sqrt(value), 6) AS r, round(power(value, 2), 4) AS p, round(exp(value / 100), 6) AS e, round(ln(value + 1), 6) AS l, round(log10(value + 1), 6) AS g, round(sin(value), 6) AS s, round(cos(value), 6) AS c, round(atan2(value, 2), 6) AS a, sign(value - 50) AS h, pmod(user_id - 70, 7) AS m FROM events", "SELECT event_id, round(sqrt(value), 6) AS r, round(power(value, 2), 4) AS p, round(exp(value / 100), 6) AS e, round(ln(value + 1), 6) AS l, round(log10(value + 1), 6) AS g, round(sin(value), 6) AS s, round(cos(value), 6) AS c, round(atan2(value, 2), 6) AS a, CAST(sign(value - 50) AS DOUBLE) AS h, ((user_id - 70) % 7 + 7) % 7 AS m FROM events"),
+    "scalar_regex": ("SELECT p_partkey, regexp_replace(p_name, '[aeiou]+', '_') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS x, p_type RLIKE '^[A-M]' AS m, split_part(p_type, ' ', 1) AS s, trim(concat('  ', p_name, ' ')) AS t, reverse(p_brand) AS v, CAST(instr(p_name, 'e') AS BIGINT) AS i, concat_ws('/', p_brand, p_type) AS c, lower(p_name) AS l FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]+', '_', 'g') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS x, regexp_matches(p_type, '^[A-M]') AS m, split_part(p_type, ' ', 1) AS s, trim(concat('  ', p_name, ' ')) AS t, reverse(p_brand) AS v, CAST(instr(p_name, 'e') AS BIGINT) AS i, concat_ws('/', p_brand, p_type) AS c, lower(p_name) AS l FROM part"),
+    "scalar_time_parts": ("SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m, CAST(date_part('hour', ts) AS BIGINT) AS h, CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS BIGINT) AS d, date_add(CAST(ts AS DATE), 7) AS w, ts - INTERVAL '90' MINUTE AS e, CAST(extract(MINUTE FROM ts) AS BIGINT) AS u FROM events", "SELECT event_id, year(ts) AS y, month(ts) AS m, date_part('hour', ts) AS h, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d, CAST(CAST(ts AS DATE) + INTERVAL 7 DAY AS DATE) AS w, ts - INTERVAL 90 MINUTE AS e, CAST(extract(minute FROM ts) AS BIGINT) AS u FROM events"),
+    "scalar_array": ("SELECT user_id, CAST(size(a) AS BIGINT) AS n, element_at(a, 1) AS f, array_join(slice(a, 1, 2), ',') AS s, CAST(size(filter(a, x -> x LIKE '%i%')) AS BIGINT) AS i, array_join(transform(a, x -> upper(x)), ',') AS u, array_contains(a, 'click') AS c FROM (SELECT user_id, array_sort(collect_set(event_type)) AS a FROM events GROUP BY user_id)", "SELECT user_id, len(a) AS n, a[1] AS f, array_to_string(a[1:2], ',') AS s, len(list_filter(a, lambda x: x LIKE '%i%')) AS i, array_to_string(list_transform(a, lambda x: upper(x)), ',') AS u, list_contains(a, 'click') AS c FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY user_id)"),
+    "scalar_cast": ("SELECT event_id, CAST(user_id AS STRING) AS s, CAST(floor(value) AS INT) AS i, try_cast(concat(event_type, '1') AS INT) AS n, CAST(CAST(user_id AS STRING) AS DOUBLE) AS d, CAST(value > 50 AS INT) AS b, CAST(ts AS DATE) AS t FROM events", "SELECT event_id, CAST(user_id AS VARCHAR) AS s, CAST(floor(value) AS INT) AS i, try_cast(concat(event_type, '1') AS INT) AS n, CAST(CAST(user_id AS VARCHAR) AS DOUBLE) AS d, CAST(value > 50 AS INT) AS b, CAST(ts AS DATE) AS t FROM events"),
+    "agg_if_and_moments": (f"SELECT event_type, count_if(value > 50) AS n, round(stddev_samp({V}), 4) AS s, round(var_pop({V}) / 1000000, 4) AS v, count(DISTINCT user_id) AS u, bool_or(value > 99) AS b FROM events GROUP BY event_type", f"SELECT event_type, CAST(count_if(value > 50) AS BIGINT) AS n, round(stddev_samp({V}), 4) AS s, round(var_pop({V}) / 1000000, 4) AS v, count(DISTINCT user_id) AS u, bool_or(value > 99) AS b FROM events GROUP BY event_type"),
+    "recursive_cte": "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT r.n, count(e.event_id) AS events FROM r LEFT JOIN events e ON e.user_id = r.n GROUP BY r.n",
     "scalar_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
 }
 
