@@ -555,3 +555,18 @@ def test_queries_equal_sql(spark, name, sf):
     columns = [d[0] for d in expected.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected.fetchall())
+
+
+def test_learning_leaves_repeated_rows_on_the_executors(spark, monkeypatch):
+    """A doc_id that repeats, and documents longer than the bound, cost the sample its size only."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    rows = [(1, f"vile scum number {n}") for n in range(60)] + [(n, "a calm and pleasant text of words") for n in range(2, 12)] + [(12, "vile " * 6000), (13, None), (14, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int(n not in (1, 12)), int(n in (1, 12))) for n in range(1, 15)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, marks: seen.append(texts) or toxicity.Lexicon())
+    monkeypatch.setattr(quality, "fit", lambda rows, marks: seen.append(rows) or quality.PRIOR)
+    toxicity.learn_labels(docs, labels)
+    quality.fit_labels(docs, labels)
+    assert [len(x) <= 20 for x in seen] == [True, True] and all(seen) and max(map(len, seen[0])) <= toxicity.LONGEST

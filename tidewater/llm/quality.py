@@ -163,7 +163,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> Field:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = arrow_map(slim.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text"), _features, "doc_id long, quality int, lines array<array<double>>")
-    rows = sorted(((r["doc_id"], r["quality"], r["lines"]) for r in lines.collect()), key=lambda r: (r[0], len(r[2])))[:SAMPLE]
+    # Rows may repeat a doc_id without end: SAMPLE of them at most leave the executors.
+    lines = lines.orderBy(F.xxhash64("doc_id"), "doc_id", F.size("lines"), F.xxhash64("lines")).limit(SAMPLE)
+    rows = sorted(((r["doc_id"], r["quality"], r["lines"]) for r in lines.collect()), key=lambda r: (r[0], len(r[2])))
     return fit([r[2] for r in rows], [r[1] > 0 for r in rows])
 
 
