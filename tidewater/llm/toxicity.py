@@ -7,7 +7,8 @@ counts, unless an exception phrase covers it. The sum of weights is divided by
 a power of the length in words and passed through a logistic curve.
 
 Entries, weights, exception phrases, the power and the curve are learnt from
-labelled documents, at most ``SAMPLE`` of them, the smallest by hash of doc_id.
+labelled documents, at most ``SAMPLE`` of them, the smallest by hash of doc_id
+(longer ones than ``LONGEST`` are not used in learning; all are scored whole).
 Neither labels nor lang, source or doc_id enter a score.
 """
 
@@ -29,6 +30,8 @@ from .common import arrow_map
 
 #: Labelled documents that the lexicon is learnt from, at most, and its entries, at most.
 SAMPLE, ENTRIES = 12_000, 400
+#: Characters of a document that the lexicon is learnt from, at most; with SAMPLE, this bounds what reaches the driver.
+LONGEST = 20_000
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝкмтвнгαορτυνικ", "aeopcyxijsdhqwkmtbhraoptuvik"))
 #: Digits and signs written for letters.
@@ -159,8 +162,10 @@ def learn_labels(docs: DataFrame, labels: DataFrame) -> Lexicon:
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = slim.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).where("text IS NOT NULL").select("doc_id", "toxic", "text").toArrow()
-    rows = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "toxic", "text"))), key=lambda r: (r[0], len(r[2])))[:SAMPLE]
+    found = slim.where(F.length("text") <= LONGEST).join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    # Rows may repeat a doc_id without end: SAMPLE of them at most leave the executors.
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), F.xxhash64("text")).limit(SAMPLE).toArrow()
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "toxic", "text"))), key=lambda r: (r[0], len(r[2])))
     return learn([r[2] for r in rows], [int(r[1] > 0) for r in rows])
 
 
