@@ -188,8 +188,8 @@ def test_embeddings(spark):
     expected = union(zip(i.tolist(), j.tolist()), range(len(rows)))
     links = np.bincount(np.concatenate([i, j]), minlength=len(rows))
     mine = np.array([got[k]["n_links"] for k in range(len(rows))])
-    assert (mine <= links).all() and mine.sum() >= 0.99 * links.sum()
-    assert np.mean([got[k]["component_id"] == expected[k] for k in range(len(rows))]) > 0.99
+    assert (mine <= links).all() and mine.sum() >= 0.999 * links.sum()
+    assert np.mean([got[k]["component_id"] == expected[k] for k in range(len(rows))]) > 0.998
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(fine, len(rows)))
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
@@ -229,6 +229,27 @@ def test_embedding_recall_on_the_table(spark):
     assert np.mean([got[k + len(base)] == got[k] for k in range(len(base))]) > 0.97
 
 
+@pytest.mark.parametrize("rank", [2, 16])
+def test_embeddings_of_low_rank_lose_no_pair(spark, monkeypatch, rank):
+    """Vectors of a few dimensions out of 64, in many cells of several blocks, each with a partner at cosine 0.91."""
+    monkeypatch.setattr(embedding, "CELL_BLOCK", 100)
+    rng = np.random.default_rng(rank)
+    plane = np.linalg.qr(rng.normal(size=(64, rank)))[0]
+    base = rng.normal(size=(1500, rank))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    gap = rng.normal(size=base.shape)
+    gap -= (gap * base).sum(axis=1, keepdims=True) * base
+    near = base + gap / np.linalg.norm(gap, axis=1, keepdims=True) * np.tan(np.arccos(0.91))
+    x = np.concatenate([base, near]) @ plane.T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding.near_duplicates(frame).collect()}
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    expected = union(zip(i.tolist(), j.tolist()), range(len(x)))
+    assert [got[k]["n_links"] for k in range(len(x))] == np.bincount(np.concatenate([i, j]), minlength=len(x)).tolist()
+    assert all(got[k]["component_id"] == expected[k] for k in range(len(x)))
+
+
 def test_fold():
     assert toxicity.fold("Héllo, W0RLD!") == " héllo world "
     assert toxicity.fold("") == "  " and toxicity.fold("2024 12") == " 2024 12 "

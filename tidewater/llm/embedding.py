@@ -2,17 +2,17 @@
 
 Equal vectors are collapsed first. Centroids are fitted on a bounded sample
 (``SAMPLE`` different vectors, the smallest by hash) and every vector is
-assigned to its home cell. A vector also visits each cell whose bisecting
-hyperplane is nearer than 1.2 spreads: vectors at cosine 0.9 are 0.447 apart, so
-that along one of d directions their gap has the spread 0.447 / sqrt(d). A pair is
-missed only if both lie farther on their own sides, a gap of 2.4 spreads that the
-hyperplane halves; nearer pairs have smaller gaps. Recall against brute force is
-tested.
-
-The number of cells grows as twice the root of the number of vectors, so that
-assignment and comparison both grow as its power 1.5. Cells are cut into bounded
-blocks, pairs of blocks are multiplied in double precision, and each returns
-sums and one spanning edge a vector, never all pairs.
+assigned to its home cell. Vectors at cosine t or more are at most
+sqrt(2 - 2 t) apart, and the hyperplane that bisects two centroids lies between
+vectors of the two homes; so a vector farther than that behind the hyperplane
+has no link in the other cell, whatever the data's shape. It is dealt to all
+other pairs of cells: no pair is missed.
+
+Cells are cut into bounded blocks, pairs of blocks are multiplied in double
+precision, and each returns sums and one spanning edge a vector, never all
+pairs. A vector is dealt to a pair of blocks at most once. Data in far clusters
+meet few cells; data that spread evenly over many dimensions meet nearly all,
+and the work then grows with the square of the number of vectors.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, materialize, sorted_groups, spanning_labels
+from .common import components, materialize, sorted_groups, spanning_labels
 
 #: Vectors that centroids are fitted on, at most.
 SAMPLE = 32_768
 #: Centroids, at most: 16,384 of 1,024 components are 128 MB.
 MAX_CELLS = 16_384
 ROUNDS = 6
-#: Vectors of a block of a cell: a compared pair of blocks makes at most twice that many rows and columns.
-CELL_BLOCK = 1536
+#: Vectors of a block, on average at most: a compared pair of blocks makes at most about twice that many rows.
+CELL_BLOCK = 4096
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -70,67 +70,78 @@ def _packed(kind: str):
     return run
 
 
-def _assign(centre: np.ndarray, margin: float, kind: str):
-    gram = centre @ centre.T
-    gap = np.sqrt(np.maximum(2 - 2 * gram, 1e-18))
+def _homes(unit: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near = unit @ centre.T
+    return near, near.argmax(axis=1)
+
+
+def _home(centre: np.ndarray, kind: str):
+    """(rid, n, raw) to (rid, n, raw, home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                unit = _units(part.column(2), kind)
-                near = unit @ centre.T
-                home = near.argmax(axis=1)
-                behind = (near[np.arange(len(unit)), home][:, None] - near) / gap[home]
-                visit = behind <= margin
-                visit[np.arange(len(unit)), home] = True
-                row, cell = np.nonzero(visit)
-                lists = np.split(cell, np.cumsum(visit.sum(axis=1))[:-1])
+                home = _homes(_units(part.column(2), kind), centre)[1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32))], names=["rid", "n", "raw", "home"])
+
+    return run
+
+
+def _deal(centre: np.ndarray, reach: float, blocks: np.ndarray, kind: str):
+    """Each vector once for every pair of blocks it may have a link in; ``own`` is its block, ``blocks`` counts those of a cell."""
+    gap = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 1e-18))
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    cell_of = np.repeat(np.arange(len(blocks)), blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                home, spread = part.column(3).to_numpy(), part.column(4).to_numpy()
+                near = _units(part.column(2), kind) @ centre.T
+                behind = (near[np.arange(len(home)), home][:, None] - near) / gap[home]
+                visit = behind <= reach
+                visit[np.arange(len(home)), home] = True
+                row, other = np.nonzero(visit[:, cell_of])
+                own = (first[home] + spread % blocks[home])[row]
                 take = pa.array(row)
-                visits = pa.array([x.astype(np.int32) for x in lists], type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), visits.take(take)],
-                    names=["rid", "n", "raw", "cell", "home", "visits"],
-                )
+                ends = [pa.array(x.astype(np.int32)) for x in (own, np.minimum(own, other), np.maximum(own, other))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), *ends], names=["rid", "n", "raw", "own", "_i", "_j"])
 
     return run
 
 
 def _compare(threshold: float, kind: str):
-    def pair(rid, n, unit, cell, home, visits, left) -> tuple[np.ndarray, np.ndarray]:
+    def pair(n, unit, left) -> tuple[np.ndarray, np.ndarray]:
         """Links of each row, and its smallest reachable row, within one pair of blocks."""
-        size = len(rid)
-        own = home == cell
-        u, v = (np.arange(size), np.arange(size)) if left.all() or not left.any() else (np.flatnonzero(left), np.flatnonzero(~left))
-        ok = unit[u] @ unit[v].T >= threshold
-        ok &= own[u][:, None] | own[v][None, :]
-        # A pair of two homes that visits both is counted in the smaller home only.
-        cells = np.unique(home)
-        goes = np.zeros((size, len(cells)), dtype=bool)
-        for k, x in enumerate(visits):
-            goes[k] = np.isin(cells, x)
-        index = np.searchsorted(cells, home)
-        lower = ~own & (home < cell)
-        ok &= ~(lower[u][:, None] & own[v][None, :] & goes[v][:, index[u]].T)
-        ok &= ~(lower[v][None, :] & own[u][:, None] & goes[u][:, index[v]])
-        full = np.zeros((size, size), dtype=bool)
-        full[np.ix_(u, v)] = ok
-        full |= full.T
-        np.fill_diagonal(full, False)
-        return full @ n, spanning_labels(full)
+        full = np.zeros((len(n), len(n)), dtype=bool)
+        if left.all():
+            full = unit @ unit.T >= threshold
+            full |= full.T
+            np.fill_diagonal(full, False)
+        else:
+            u, v = np.flatnonzero(left), np.flatnonzero(~left)
+            full[np.ix_(u, v)] = ok = unit[u] @ unit[v].T >= threshold
+            full[np.ix_(v, u)] = ok.T
+        links = np.zeros(len(n), dtype=np.int64)
+        some = np.flatnonzero(full.any(axis=1))
+        for at in range(0, len(some), 256):
+            links[some[at : at + 256]] = full[some[at : at + 256]] @ n
+        return links, spanning_labels(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in sorted_groups(batches, ["cell", "_i", "_j"]):
+        for rows, starts in sorted_groups(batches, ["_i", "_j"]):
             ends = np.append(starts[1:], rows.num_rows)
             rids, sums, least = [], [], []
             for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s < 2:
-                    continue
                 part = rows.slice(s, e - s)
-                rid = part["rid"].to_numpy()
-                order = np.argsort(rid, kind="stable")
-                rid = rid[order]
-                links, label = pair(rid, part["n"].to_numpy()[order], _units(part["raw"], kind)[order], int(part["cell"][0].as_py()), part["home"].to_numpy()[order], [part["visits"][int(k)].values.to_numpy() for k in order], (part["_b"].to_numpy() == part["_i"].to_numpy())[order])
+                left = part["own"].to_numpy() == part["_i"].to_numpy()
+                if e - s < 2 or not left.any() or (left.all() and part["_i"][0] != part["_j"][0]):
+                    continue
+                order = np.argsort(part["rid"].to_numpy(), kind="stable")
+                rid = part["rid"].to_numpy()[order]
+                links, label = pair(part["n"].to_numpy()[order], _units(part["raw"], kind)[order], left[order])
                 at = np.flatnonzero(links)
                 rids.append(rid[at])
                 sums.append(links[at])
@@ -141,7 +152,7 @@ def _compare(threshold: float, kind: str):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, spreads: float = 1.2) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
@@ -162,14 +173,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, spreads: float =
     found: DataFrame | None = None
     for dim, count in sorted((r["dim"], r["count"]) for r in units.groupBy("dim").count().collect()):
         mine = units.where(F.col("dim") == dim)
-        cells = min(MAX_CELLS, int(2 * count**0.5) + 1)
+        cells = min(MAX_CELLS, -(-count // CELL_BLOCK))
         sample = mine.select("raw", F.xxhash64("raw").alias("h")).orderBy("h").limit(SAMPLE).select("raw").toArrow()["raw"]
         centre = fit_centroids(_units(sample, kind), cells)
-        margin = spreads * (2 - 2 * threshold) ** 0.5 / dim**0.5
-        dealt = materialize(mine.select("rid", "n", "raw").mapInArrow(_assign(centre, margin, kind), "rid long, n long, raw binary, cell int, home int, visits array<int>"), "emb-cells")
-        by = ["cell", "_i", "_j"]
-        pairs = block_pairs(dealt, ["cell"], F.col("rid"), CELL_BLOCK)
-        part = pairs.repartition(*by).sortWithinPartitions(*by).select(*by, "_b", "rid", "n", "raw", "home", "visits").mapInArrow(_compare(threshold, kind), "rid long, links long, least long")
+        homes = materialize(mine.select("rid", "n", "raw").mapInArrow(_home(centre, kind), "rid long, n long, raw binary, home int"), "emb-cells")
+        blocks = np.ones(len(centre), dtype=np.int64)
+        for r in homes.groupBy("home").count().collect():
+            blocks[r["home"]] = -(-r["count"] // CELL_BLOCK)
+        reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6
+        spread = F.pmod(F.xxhash64("rid"), F.lit(1 << 40)).alias("spread")
+        dealt = homes.select("rid", "n", "raw", "home", spread).mapInArrow(_deal(centre, reach, blocks, kind), "rid long, n long, raw binary, own int, _i int, _j int")
+        by = ["_i", "_j"]
+        part = dealt.repartition(*by).sortWithinPartitions(*by).select(*by, "own", "rid", "n", "raw").mapInArrow(_compare(threshold, kind), "rid long, links long, least long")
         found = part if found is None else found.unionByName(part)
     found = materialize(found if found is not None else spark.createDataFrame([], "rid long, links long, least long"), "emb-links")
     roots = components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")), "emb-cc")
