@@ -269,7 +269,7 @@ def test_toxicity_held_out_on_the_table(spark):
 def brute_lines(texts, min_words):
     """Deleted line numbers by document, from the definition."""
     lines = [[(p, x) for p, x in enumerate((t or "").split("\n")) if re.search("[^\x20\x09-\x0d]", x)] if t is not None else [] for t in texts]
-    size = [[x.count(" ") + 1 for _, x in doc] for doc in lines]
+    size = [[len(re.findall("[^\x20\x09-\x0d]+", x)) for _, x in doc] for doc in lines]
     first, later = {}, []
     for d, doc in enumerate(lines):
         for a in range(len(doc)):
@@ -322,6 +322,24 @@ def test_line_dedup(spark):
     assert linededup.dedup(docs.limit(0), 12).count() == 0
 
 
+def test_line_dedup_counts_words(spark):
+    """Blanks are no words, and words parted by tabs or several blanks are."""
+    rng = random.Random(18)
+    brace, table = " " * 28 + "}", "cell" + " " * 40 + "|"
+    tabbed = words(rng, 60).replace(" ", "\t")
+    spaced = words(rng, 24).replace(" ", " \t ") + "\r"
+    short = words(rng, 23).replace(" ", "   ")
+    texts = [f"{words(rng, 30)}\n{x}\n{words(rng, 30)}" for x in (brace, table, tabbed, short, spaced) for _ in range(3)]
+    texts += [f"{words(rng, 30)}\n{spaced}\n{brace}\n{words(rng, 30)}" for _ in range(2)]
+    lines = [x for t in texts for x in t.split("\n")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs_of(spark, texts)).collect()}
+    left = [x for n in range(len(texts)) for x in got[n].split("\n")]
+    for x, times in ((brace, 4), (table, 3), (tabbed, 1), (short, 3), (spaced, 4)):
+        assert left.count(x) == times, x
+    assert sum(map(len, map(str.split, left))) == sum(len(x.split()) for x in lines) - 2 * 60 - 25
+    assert [got[n] for n in range(len(texts))] == brute_lines(texts, 25)
+
+
 # --- 6
 
 

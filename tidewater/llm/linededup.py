@@ -32,11 +32,11 @@ WORD = r"[^\x20\x09-\x0D]"
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, h, words): each line with a word; th tells apart texts that share a doc_id.
 
-    A line's words are counted by its single spaces.
+    A line's words are its runs of other signs than blanks, tabs and the like.
     """
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    return lines.where(F.col("line").rlike(WORD)).select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), (spaces + 1).cast("long").alias("words"))
+    counted = lines.withColumn("words", F.regexp_count("line", F.lit(f"{WORD}+")).cast("long")).where("words > 0")
+    return counted.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), "words")
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
