@@ -568,6 +568,33 @@ def test_pii_bootstrap(spark):
             assert got[n]["n_context"] == 0
 
 
+def test_pii_contexts_are_the_last_two_words(spark):
+    """Whatever stands there: numbers, addresses, long words, many matches within a word."""
+    rng = random.Random(17)
+    long = "y" * 60
+    bits = ["12", "a@b.cd", "1.2.3.4", "4111111111111111", "word", long, "Q1-" * 40 + "7", "+1 (555) 010-7713", "é🙂", "11a" * 30, "("]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "  \n", "", "\t"]) for _ in range(rng.randrange(14))) for _ in range(300)]
+    texts += [f"{long} {'z' * 300} x@y.zw", "11a" * 400 + "@b.cd", "head tail" + "1-" * 9 + "4111111111111111"]
+    docs = docs_of(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("th"))
+    got = pii.matches(docs).collect()
+    assert len(got) > 1000
+    for r in got:
+        found = " ".join(re.sub("[0-9]+", "0", texts[r["doc_id"]][: r["start"]].lower()).split()[-2:])
+        assert r["context"] == (hashlib.md5(found.encode()).hexdigest() if len(found) > pii.LONG else found), r
+
+
+def test_pii_bootstrap_behind_numbers(spark):
+    rng = random.Random(16)
+    contexts = ["ref 12 from", "code 77", "x" * 40 + " " + "y" * 40]
+    texts = [f"{words(rng, 5)} {c} +1 (555) 010-{rng.randrange(1000, 9999)} end" for c in contexts for _ in range(30)]
+    texts += [f"{words(rng, 5)} {c} QX-{rng.randrange(10**6, 10**7)} end" for c in contexts for _ in range(8)]
+    got = {r["doc_id"]: r for r in pii.find(docs_of(spark, texts)).collect()}
+    for n, t in enumerate(texts):
+        start = t.find("QX-")
+        assert got[n]["n_context"] == (start >= 0), t
+        assert start < 0 or got[n]["spans"] == f"context:{start}:{start + 10}"
+
+
 # --- queries and the pipeline
 
 

@@ -18,6 +18,8 @@ run, so that a long run of letters or digits takes linear time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ EXPRESSIONS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
 )
-#: Signs that are not part of a candidate at its ends, and code points before a span that its pattern is taken from.
-EDGES, CONTEXT = ".,;:!?\"'()[]{}<>*#$%&|=", 48
+#: Signs that are not part of a candidate at its ends.
+EDGES = ".,;:!?\"'()[]{}<>*#$%&|="
+#: Code points and matches before a span that are looked at first, and the length from which a pattern stands as its digest.
+NEAR, BACK, LONG = 96, 8, 256
 LEAST_LENGTH = 5
 
 
@@ -75,12 +79,36 @@ def matches(docs: DataFrame) -> DataFrame:
     at, dot, plus = F.col("text").contains("@"), F.col("text").contains("."), F.col("text").contains("+")
     kinds = F.array(*(kind(n, w) for n, w in enumerate((at, dot, F.lit(True), plus, F.lit(True)))))
     each = some.select("doc_id", "th", F.inline(kinds)).where(F.size("match") > 0)
-    rows = each.select("doc_id", "th", "kind", F.posexplode(F.arrays_zip("gap", "match")).alias("n", "x")).where("x.match IS NOT NULL")
-    slim = rows.select("doc_id", "th", "kind", "n", F.length("x.gap").alias("gap"), F.col("x.match").alias("match"), F.right("x.gap", F.lit(CONTEXT)).alias("before"))
+    rows = each.select("doc_id", "th", "kind", F.posexplode(F.arrays_zip("gap", "match", _contexts().alias("context"))).alias("n", "x")).where("x.match IS NOT NULL")
+    slim = rows.select("doc_id", "th", "kind", "n", F.length("x.gap").alias("gap"), "x.match", "x.context")
     slim = slim.repartition("doc_id", "th", "kind").dropDuplicates(["doc_id", "th", "kind", "n"])
     order = Window.partitionBy("doc_id", "th", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     ended = slim.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(order)).withColumn("start", F.col("end") - F.length("match"))
-    return ended.where(_valid(F.col("kind"), F.col("match"))).select("doc_id", "th", "kind", "start", "end", "match", _context(F.col("before")).alias("context"))
+    return ended.where(_valid(F.col("kind"), F.col("match"))).select("doc_id", "th", "kind", "start", "end", "match", "context")
+
+
+def _contexts() -> Column:
+    """The pattern before each match, from the whole text before it: gaps and matches of its kind, put together again.
+
+    Mostly the last few hold two whole words; only where they don't is all text before the match read.
+    """
+
+    def text(first: Column, i: Column, cut: Callable[[Column], Column]) -> Column:
+        """Gaps and matches from number ``first`` to the i-th gap; numbers below 0 add nothing."""
+        one = F.transform(F.sequence(first, i - 1), lambda j: F.concat(cut(F.get("gap", j)), F.get("match", j)))
+        return F.concat(F.array_join(one, ""), cut(F.get("gap", i)))
+
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def of(i: Column) -> Column:
+        tail = F.right(text(i - BACK, i, lambda gap: F.right(gap, F.lit(NEAR))), F.lit(NEAR))
+        whole = text(F.least(F.lit(0), i - 1), i, lambda gap: gap)
+        enough = lambda t: ((i <= BACK) & (F.length(t) < NEAR)) | t.rlike(r"\s\S++\s++\S++\s*+$")
+        before = bound(tail, lambda t: F.when(enough(t), t).otherwise(whole))
+        return bound(bound(before, _context), lambda c: F.when(F.length(c) > LONG, F.md5(c.cast("binary"))).otherwise(c))
+
+    return F.transform(F.col("match"), lambda _, i: of(i))
 
 
 def _context(before: Column) -> Column:
