@@ -114,6 +114,18 @@ def test_rewrite_leaves_other_shards(spark, tmp_path):
     assert {r["doc_id"] for p in parts for r in p.collect()} == set(range(400)) and parts[3].first()["size"] == 1.5
 
 
+def test_shards_without_bytes_stay(spark, tmp_path):
+    rows = [(k, k % 4, None if k % 4 in (1, 3) else 10) for k in range(80)]
+    frame = spark.createDataFrame(rows, "id long, shard int, size long")
+    for shards, capacities in ((4, None), (4, [200, 0, 200, 0]), (3, [200, 0, 200])):
+        moved = sharding.reshard(frame.drop("size").join(frame.select("id", F.col("size").alias("s")), "id"), F.col("shard"), F.col("s"), F.col("id"), shards, capacities).collect()
+        assert sorted(r["id"] for r in moved) == list(range(80)) and all(0 <= r["new_shard"] < shards for r in moved)
+        old, new = str(tmp_path / f"old{shards}{bool(capacities)}"), str(tmp_path / f"new{shards}{bool(capacities)}")
+        frame.write.partitionBy("shard").parquet(old)
+        manifest = sharding.rewrite(spark, old, new, "size", "id", shards, capacities).collect()
+        assert sorted(r["id"] for m in manifest for r in spark.read.parquet(m["path"]).collect()) == list(range(80))
+
+
 # --- 2
 
 

@@ -110,8 +110,9 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, shard
     sized = rows.withColumn("size", F.coalesce(size, F.lit(0)).cast("long")).withColumn("old_shard", F.coalesce(old_shard, F.lit(0)).cast("int"))
     flow = plan(sized.select("old_shard", "size"), capacities, shards)
     count = max(1, sum(1 for _ in flow))
+    stays = F.pmod(F.col("old_shard"), F.lit(len(capacities or []) or shards)).cast("int")  # without bytes, hence without flow
     if not flow:
-        return sized.withColumn("new_shard", F.col("old_shard"))
+        return sized.withColumn("new_shard", stays)
     # Position in the old shard's layout: classes of size, parts of a class by hash, rows within a part.
     parts = max(1, spark.sparkContext.defaultParallelism, count)
     laid = sized.withColumn("_class", F.floor(F.log2(F.col("size") + 1)).cast("int")).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
@@ -124,7 +125,8 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, shard
     cuts = F.broadcast(_cuts(spark, flow))  # at most shards squared rows
     middle = F.col("_at") + F.expr("size div 2")
     inside = (placed["old_shard"] == cuts["old_shard"]) & (middle >= F.col("lo")) & (middle < F.col("hi"))
-    return placed.join(cuts, inside).drop(cuts["old_shard"]).drop("_class", "_part", "_start", "_in", "_at", "lo", "hi")
+    joined = placed.join(cuts, inside, "left").drop(cuts["old_shard"]).withColumn("new_shard", F.coalesce("new_shard", stays))
+    return joined.drop("_class", "_part", "_start", "_in", "_at", "lo", "hi")
 
 
 def rewrite(spark: SparkSession, old_dir: str, new_dir: str, size: str, key: str, shards: int, capacities: list[int] | None = None) -> DataFrame:
@@ -138,12 +140,14 @@ def rewrite(spark: SparkSession, old_dir: str, new_dir: str, size: str, key: str
     old = F.col("shard").cast("int")
     held = rows.select(old.alias("old_shard"), F.coalesce(F.expr(size), F.lit(0)).cast("long").alias("size"), F.col(key).alias("_key"), F.struct(*columns).alias("_row"))
     flow = plan(held.select("old_shard", "size"), capacities, shards)
-    touched = sorted({s for i, j in flow if i != j for s in (i, j)})
+    idle = {r["old_shard"] for r in held.select("old_shard").distinct().collect()} - {i for i, _ in flow}
+    goes = [*flow, *((s, s % (len(capacities or []) or shards)) for s in idle)]
+    touched = sorted({s for i, j in goes if i != j for s in (i, j)})
     if touched:
         moved = reshard(held, F.col("old_shard"), F.col("size"), F.col("_key"), shards, capacities)
         affected = moved.where(F.col("old_shard").isin(touched) | F.col("new_shard").isin(touched))
         affected.select("_row.*", F.col("new_shard").alias("shard")).write.partitionBy("shard").parquet(new_dir)
-    live = sorted({j for _, j in flow})
+    live = sorted({j for _, j in goes})
     manifest = [(s, f"{new_dir if s in touched else old_dir}/shard={s}", s in touched) for s in live]
     return spark.createDataFrame(manifest, "shard int, path string, rewritten boolean")
 
