@@ -332,6 +332,64 @@ def test_line_dedup(spark):
     again = linededup.dedup(twice.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), 12).collect()
     assert len(again) == len(texts) + 3 and all(r["text"] == expected[r["doc_id"]] for r in again if r["doc_id"] is not None)
     assert linededup.dedup(docs.limit(0), 12).count() == 0
+    assert all(r["n_chars"] == (len(r["text"]) if r["n_deleted"] else docs_chars(texts[r["doc_id"]])) for r in got.values())
+
+
+def docs_chars(text):
+    return None if text is None else len(text)
+
+
+def test_line_dedup_posts_minima_only(spark):
+    """Posted fingerprints are window minima, the rightmost of equal ones, each place once; only those met twice go on."""
+    rng = random.Random(19)
+    texts = ["\n".join(words(rng, rng.randrange(1, 6), 5000) for _ in range(60)) for _ in range(30)]
+    texts += ["\n".join([*(words(rng, 4, 5000) for _ in range(9)), *["same line here"] * 9, *texts[0].split("\n")[5:40]]) for _ in range(3)]
+    lines = linededup.line_table(docs_of(spark, texts)).repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
+    hashes = defaultdict(dict)
+    for r in lines.collect():
+        hashes[r["doc_id"]][r["pos"]] = (r["h"], r["words"])
+    places = set()
+    for d, own in hashes.items():
+        seq = [own[p] for p in sorted(own)]
+        for a in range(len(seq)):
+            total, b = 0, a
+            while b < len(seq) and total < 25:
+                total += seq[b][1]
+                b += 1
+            if total >= 25:
+                places.add((d, max(range(a, b), key=lambda k: (-seq[k][0], k)), min(h for h, _ in seq[a:b])))
+    windows = linededup._windows(lines, 25)
+    posted = windows.where("posted").collect()
+    assert sorted((r["doc_id"], r["anchor"]) for r in posted) == sorted((d, h) for d, _, h in places)
+    assert len(posted) < 0.45 * sum(map(len, hashes.values())) and len(posted) < 0.5 * windows.count()
+    times = defaultdict(int)
+    for _, _, h in places:
+        times[h] += 1
+    assert {r["anchor"]: r["n"] for r in linededup.fingerprints(windows).collect()} == {h: n for h, n in times.items() if n > 1}
+
+
+@pytest.mark.parametrize("heavy, bits", [(1, 1 << 15), (10**9, 1 << 20)])
+def test_line_dedup_by_shuffle_and_by_broadcast(spark, monkeypatch, heavy, bits):
+    """All keys light and a small, crowded bitmap; and all keys heavy."""
+    from tidewater.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(common, "SCREEN_BITS", bits)
+    rng = random.Random(20)
+    pool = [words(rng, rng.randrange(1, 30)) for _ in range(40)]
+    texts = ["\n".join(rng.choice([*pool, "", words(rng, 8)]) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs_of(spark, texts), 12).collect()}
+    assert [got[n] for n in range(len(texts))] == brute_lines(texts, 12)
+
+
+def test_screen_lets_all_members_through(spark):
+    from tidewater.llm import common
+
+    rows = spark.range(20_000).withColumn("x", F.when(F.col("id") % 100 != 7, F.col("id")))
+    surely_none, rest = common.screen(rows, F.col("x"), spark.range(0, 20_000, 9), F.col("id"))
+    through = {r["id"] for r in rest.collect()}
+    assert {n for n in range(0, 20_000, 9) if n % 100 != 7} <= through and len(through) < 3000
+    assert surely_none.count() == 20_000 - len(through)
 
 
 def test_line_dedup_counts_words(spark):

@@ -6,6 +6,9 @@
 * ``gapless_rank`` numbers rows without sorting a whole group in one task.
 * ``components`` finds connected components by alternating large-star and
   small-star passes.
+* ``counted_join`` joins a table of counted keys so that no hot key lands in one
+  task, and ``screen`` tells rows that are surely not in a set from the others,
+  by a bitmap of fixed size.
 * ``block_pairs`` deals the members of a group to bounded pairs of blocks and
   ``spanning_edges`` compares one such pair, returning at most one edge a row.
 """
@@ -114,6 +117,50 @@ def components(edges: DataFrame, tag: str, limit: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+#: A key with more than one row in so many is joined by broadcast: there are fewer than HEAVY of these, whatever the data.
+HEAVY = 4096
+#: Bits of the bitmap behind ``screen`` (8 MB), in rows of BITMAP_ROW bits.
+SCREEN_BITS, BITMAP_ROW = 1 << 26, 1 << 15
+
+
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right(keys, n, ...)``, whose keys are unique and found ``n`` times in ``left``; how: inner or left_semi.
+
+    Keys with more than one in HEAVY of all counted rows, fewer than HEAVY of
+    them, are broadcast, so their rows stay where they are; the others are
+    shuffled, and none of them has more than that share. ``right`` should be a
+    written table, since it is read four times; ``n`` is not returned.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HEAVY > total
+    heavy, light = right.where(hot).drop("n"), right.where(~hot).drop("n")
+    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("shuffle_hash"), keys, how)
+    return left.join(F.broadcast(heavy), keys, how).unionByName(cold)
+
+
+def screen(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is surely none of ``member`` of ``members``, the other rows).
+
+    Only the latter need a join. The bitmap has SCREEN_BITS bits whatever the
+    number of members; more of them let more rows through, never fewer. A null
+    key is surely none.
+    """
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(SCREEN_BITS))
+
+    def line(x: Column) -> Column:
+        return F.floor(x / BITMAP_ROW).cast("int")
+
+    bits = members.select(place(member).alias("_x")).select(line(F.col("_x")).alias("_line"), (F.col("_x") % BITMAP_ROW).alias("_x"))
+    maps = F.broadcast(bits.groupBy("_line").agg(F.bitmap_construct_agg("_x").alias("_map")))
+    at = place(key)
+    byte = F.conv(F.hex(F.substr(F.col("_map"), (F.floor(at % BITMAP_ROW / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & key.isNotNull()
+    marked = rows.join(maps, line(at) == F.col("_line"), "left").withColumn("_may", found)
+    return marked.where(~F.col("_may")).select(*rows.columns), marked.where("_may").select(*rows.columns)
+
+
 def block_pairs(df: DataFrame, keys: list[str], spread: Column, size: int = BLOCK) -> DataFrame:
     """Deal each group of ``keys`` to pairs of blocks (``_i`` <= ``_j``), for groups of two rows or more.
 

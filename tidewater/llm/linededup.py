@@ -1,17 +1,24 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 Lines with a word are hashed. From each line starts the shortest window of
-whole lines with ``min_words`` words or more; a window's fingerprint is its
-smallest line hash, with the window's own hash beside it, so that a common line
-in unrelated surroundings makes no false match. Any run of lines of that many
-words that two places share holds a whole window, equal in both, hence a shared
-fingerprint: the guarantee of winnowing, measured in words, so that one long
-line is a run as well.
-
-The posted positions of a fingerprint are joined to its first one, in the order
-of doc_id and line. Each match is extended line by line to both sides as far as
-the two places agree (less than ``min_words`` words on a side: beyond, another
-window starts), and the lines of the later place are deleted.
+whole lines with ``min_words`` words or more, and the window selects the place
+of its smallest line hash, the rightmost one of equal ones. Neighbouring windows
+mostly select the same place, which is posted once: the fingerprints are these
+minima, far fewer than lines. Any run of lines of ``min_words`` words that two
+places share holds a whole window, equal in both, which selects the same line
+in both: the guarantee of winnowing, measured in words, so that one long line is
+a run as well.
+
+Fingerprints are joined on the minimum's hash: windows whose minimum is posted
+once only are done with. For the others the window's lines are compared, by
+their common hash, with the first place that has them, in the order of doc_id
+and line, so that a common line in unrelated surroundings makes no match. Each
+match is extended line by line to both sides as far as the two places agree (an
+agreement of ``min_words`` words or more beyond the window holds another window,
+which matches by itself), and the lines of the later place are deleted.
+
+Hot minima and hot passages are joined by ``counted_join``, and only texts that
+may have deletions are shuffled to them; both work alike at every size.
 """
 
 from __future__ import annotations
@@ -21,10 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import counted_join, materialize, screen
 
-#: Deleted line numbers, 4 bytes each, up to which they are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_NUMBERS = 2_000_000
 #: What a line with a word has.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -40,7 +45,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Every window: doc_id, th, first and last line numbers (of lines with a word), anchor, key, lines before and after."""
+    """Every window: doc_id, th, first and last line numbers (of lines with a word), anchor (its minimum), posted (whether the window before did not select the same place), key, lines before and after."""
     by = Window.partitionBy("doc_id", "th")
     order = by.orderBy("pos")
     spread = lines.withColumn("stop", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("stop") - F.col("words")).withColumn("nth", F.row_number().over(order))
@@ -58,8 +63,11 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
         "before",
         F.last("after").over(reach).alias("after"),
     )
-    whole = out.where(F.col("total") >= min_words)
-    return whole.select("doc_id", "th", "first", "last", F.array_min("hashes").alias("anchor"), F.xxhash64("hashes").alias("key"), "before", "after")
+    whole = out.where(F.col("total") >= min_words).withColumn("anchor", F.array_min("hashes"))
+    # The rightmost minimum: its place from the window's end.
+    whole = whole.withColumn("place", F.col("last") + 1 - F.array_position(F.reverse("hashes"), F.col("anchor")))
+    posted = F.coalesce(F.lag("place").over(by.orderBy("first")) != F.col("place"), F.lit(True))
+    return whole.select("doc_id", "th", "first", "last", "anchor", posted.alias("posted"), F.xxhash64("hashes").alias("key"), "before", "after")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -69,16 +77,23 @@ def _agree(a: Column, b: Column) -> Column:
     return F.get(differ, F.lit(0))
 
 
+def fingerprints(windows: DataFrame) -> DataFrame:
+    """(anchor, n): the minima that are posted twice or more."""
+    return windows.where("posted").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def repeats(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, nth): the lines to delete, each once; nth counts lines with a word from 1."""
     windows = materialize(_windows(lines, min_words), "lines-windows")
+    met = materialize(fingerprints(windows), "lines-minima")
+    met = materialize(counted_join(windows.drop("posted"), met, ["anchor"], "left_semi"), "lines-met")
     by = ["anchor", "key"]
     place = F.struct("doc_id", "th", "first")
-    firsts = windows.groupBy(*by).agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, "source")
-    posted = materialize(windows.join(firsts, by), "lines-matches")
-    is_first = (F.col("doc_id") == F.col("source.doc_id")) & (F.col("th") == F.col("source.th")) & (F.col("first") == F.col("source.first"))
-    sources = posted.where(is_first).select(*by, F.col("before").alias("s_before"), F.col("after").alias("s_after"))
-    later = posted.where(~is_first).join(sources, by)
+    firsts = met.groupBy(*by).agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialize(firsts, "lines-firsts")
+    at_source = firsts.select(*by, "n", "source.*")
+    sources = met.join(at_source.hint("shuffle_hash"), [*by, "doc_id", "th", "first"]).select(*by, "n", F.struct("doc_id", "th", "first").alias("source"), F.col("before").alias("s_before"), F.col("after").alias("s_after"))
+    later = counted_join(met, materialize(sources, "lines-sources"), by).where(place != F.col("source"))
     left = _agree(F.reverse("before"), F.reverse("s_before"))
     right = _agree(F.col("after"), F.col("s_after"))
     runs = later.select("doc_id", "th", (F.col("first") - left).alias("lo"), (F.col("last") + right).alias("hi"))
@@ -91,8 +106,8 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """``docs`` with later repeats of runs of ``min_words`` words or more deleted from ``text``; adds n_deleted.
 
-    Every row comes back, with all its other columns (a column n_deleted of its own is replaced); a text all of whose lines
-    repeat becomes empty. Order is by doc_id, then by a hash of the text where a
+    Every row comes back, with all its other columns (a column n_deleted of its own is replaced, and n_chars,
+    if there is one, is counted anew for changed texts); a text all of whose lines repeat becomes empty. Order is by doc_id, then by a hash of the text where a
     doc_id is shared, then by line; repeats within one text count too. Rows with
     a null doc_id or text come back as they are. Rows that repeat both doc_id and
     text are one document and stay alike. Lines without a word are never run
@@ -101,14 +116,24 @@ def dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     keyed = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines = line_table(keyed).repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
     gone = repeats(lines, min_words).groupBy("doc_id", "th").agg(F.collect_set("nth").alias("_gone"))
-    gone = materialize(gone, "lines-gone").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    numbers = gone.agg(F.sum(F.size("_gone") + 8)).first()[0] or 0
-    gone = F.broadcast(gone) if numbers <= BROADCAST_NUMBERS else gone
-    joined = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_th"]), "left")
-    kept = _without(docs["text"].cast("string"), gone["_gone"])
-    text = F.when(gone["_gone"].isNull(), docs["text"].cast("string")).otherwise(kept)
-    others = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_deleted"]
-    return joined.select(*others, F.coalesce(F.size(gone["_gone"]), F.lit(0)).alias("n_deleted"))
+    gone = materialize(gone, "lines-gone")
+    columns = [c for c in docs.columns if c != "n_deleted"]
+    text = F.col("text").cast("string")
+    # All columns in one, so that none can clash with those of the join.
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*columns).alias("row"))
+    whole, touched = screen(rows, F.when(F.col("text").isNotNull(), F.struct("doc_id", "th")), gone, F.struct("doc_id", "th"))
+    joined = touched.join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)))
+    joined = joined.withColumn("text", F.when(F.col("n_deleted") > 0, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))).drop("_gone")
+
+    def out(found: DataFrame) -> DataFrame:
+        def of(c: str) -> Column:
+            if c == "n_chars":
+                return F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
+            return F.col("text") if c == "text" else F.col("row")[c]
+
+        return found.select(*(of(c).alias(c) for c in columns), "n_deleted")
+
+    return out(whole.withColumn("n_deleted", F.lit(0))).unionByName(out(joined))
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:

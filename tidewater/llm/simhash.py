@@ -27,12 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, block_pairs, components, materialize, sorted_groups, spanning_labels, text_bytes
+from .common import arrow_map, block_pairs, components, materialize, screen, sorted_groups, spanning_labels, text_bytes
 
 BYTES, MAX_BITS = 8, 3
 MIN_SHARED = BYTES - MAX_BITS
-#: Ids of later copies up to which they are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_IDS = 1_000_000
 #: Groups up to this size are compared by shifts of the whole sorted batch.
 SMALL = 12
 
@@ -151,10 +149,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` without the rows that are not the first of their component; columns unchanged.
 
-    Rows whose doc_id is null are kept. Of rows that share a doc_id, all are kept
+    Only texts whose id may be that of a later copy, by a bitmap of fixed size, are shuffled to
+    the ids. Rows whose doc_id is null are kept. Of rows that share a doc_id, all are kept
     or none: none if one of them is a later copy.
     """
     gone = near_duplicates(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "simhash-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    whole, rest = screen(docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("row")), F.col("_id"), gone, F.col("_gone"))
+    kept = rest.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti")
+    return whole.unionByName(kept).select("row.*")
