@@ -665,6 +665,47 @@ def test_pii_bootstrap_behind_numbers(spark):
         assert start < 0 or got[n]["spans"] == f"context:{start}:{start + 10}"
 
 
+def test_pii_patterns_after_a_match(spark):
+    """The first two words after a match, whatever stands there; with them and with key-like seeds contexts find more."""
+    rng = random.Random(21)
+    bits = ["12", "a@b.cd", "4111111111111111", "word", "y" * 120, "Q1-" * 40 + "7", "+1 (555) 010-7713", "é🙂", "("]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "  \n", "", "\t"]) for _ in range(rng.randrange(14))) for _ in range(200)]
+    got = pii.matches(docs_of(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("th"))).collect()
+    for r in got:
+        found = " ".join(re.sub("[0-9]+", "0", texts[r["doc_id"]][r["end"] :].lower()).split()[:2])
+        assert r["after"] == (hashlib.md5(found.encode()).hexdigest() if len(found) > pii.LONG else found), r
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    texts = [f'{words(rng, 5)} token = "{k}"!! {words(rng, 4)}' for k in keys] + [f"{words(rng, 4)} token = pass-{n}77 {words(rng, 3)}" for n in range(5)]
+    texts += [f"{words(rng, 4)} {k[::-1]} {words(rng, 4)}" for k in keys[:9]] + [f"{words(rng, 3)} {k[:9]}{k[20:]} expires in {words(rng, 2)}" for k in keys] + [f"{words(rng, 3)} K{n}-998 expires in {words(rng, 3)}" for n in range(6)]
+    for r in pii.find(docs_of(spark, texts)).collect():
+        t, n = texts[r["doc_id"]], r["doc_id"]
+        span = re.search("(?<=token = )pass-[0-9]+|[0-9a-f]{29,40}|K[0-9]-998", t)
+        assert r["spans"] == ("" if 35 <= n < 44 else f"context:{span.start()}:{span.end()}"), t
+        assert r["n_spans"] == r["n_context"] == (0 if 35 <= n < 44 else 1)
+
+
+@pytest.mark.parametrize("heavy", [2, 4096])
+def test_pii_graph_scores(spark, monkeypatch, heavy):
+    from tidewater.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rng = random.Random(22)
+    edges = {(f"p{min(rng.randrange(25), rng.randrange(25))}", min(rng.randrange(60), rng.randrange(60))) for _ in range(260)}
+    seeds = {n for n in range(60) if n % 5 == 0}
+    belief = {n: float(n in seeds) for _, n in edges}
+    for _ in range(3):
+        of = defaultdict(list)
+        for p, n in edges:
+            of[p].append(belief[n])
+        score = {p: sum(x) / len(x) for p, x in of.items() if len(x) >= 5 and sum(x) > 0}
+        for p, n in edges:
+            belief[n] = max(belief[n], score.get(p, 0.0))
+    frame = spark.createDataFrame([(p, n, n in seeds) for p, n in edges], "context string, instance long, seed boolean")
+    got = {r["context"]: (r["confidence"], r["support"]) for r in pii.confident_patterns(frame, 3, 5, 0.3).collect()}
+    expected = {p: (s, len(of[p])) for p, s in score.items() if s >= 0.3}
+    assert got.keys() == expected.keys() and all(got[p] == pytest.approx(expected[p]) for p in got) and len(got) > 3
+
+
 # --- queries and the pipeline
 
 
