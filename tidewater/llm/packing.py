@@ -1,16 +1,24 @@
 """Best-fit packing by bulk-synchronous supersteps.
 
-Documents are tokenised and cut into pieces of at most ``capacity`` tokens.
-Piece lengths are whole numbers up to the capacity, so the range-sorted tables
-of pieces and of gaps are kept run-length encoded: one class a length with its
-count. That is lossless, and its size is bounded by the capacity whatever the
-corpus holds. A superstep places all pieces of one length, longest first: a
-successor sweep over the gap classes gives each piece the smallest gap that
-holds it, conflicts are resolved by rank (the r-th piece takes the r-th gap),
-gaps are updated, and what found no gap opens sequences. The result is the
-list of stretches "pieces of rank s..s+c of length l go to sequences b..b+c at
-offset o", which Spark applies to all pieces by a join on the length. It is
-best-fit decreasing exactly.
+Documents are tokenised and cut into pieces of at most ``capacity`` tokens, and
+pieces are range-sorted by length, longest first. Pieces longer than half the
+capacity open a sequence each; all others are placed by supersteps:
+
+1. pieces and gaps are range-sorted together by size, largest first;
+2. a successor sweep gives every piece the smallest gap that holds it and that
+   no longer piece has taken. Read from the largest down, gaps and pieces match
+   like brackets, the piece closing the gap opened last; a prefix sum over the
+   classes of equal size gives each bracket its depth, and within a class the
+   rank resolves who takes which gap: pairs are neighbours of one depth, of which
+   each has a few rows, so the sweep runs in as many tasks as there are;
+3. gaps are updated, and the next superstep goes on, until no piece fits a gap.
+
+Short pieces are dealt in bundles of one length, which are halved from step to
+step, so that a gap need not take them one by one. Where no gap holds any of the
+pieces that are left, as many sequences are opened as their tokens need at
+least, by the longest of them: those of which q fit in a sequence fill it q by
+q; and the supersteps go on. The tables of classes have a row a size, at most
+twice ``capacity``; nothing else is broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -19,19 +27,17 @@ import base64
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, gapless_rank, materialize
+from .common import arrow_map, materialize
 
-#: Rows that one part of a length class should have when pieces are ranked.
-PART_ROWS = 100_000
+#: Pieces up to this share of the capacity are dealt in bundles.
+SHORT = 1 / 16
 _OTHER = re.compile("[^\x00-\x7f\xa1-\u017f]")
 
 
@@ -46,9 +52,14 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _special(path: str) -> re.Pattern | None:
+    """Texts of added tokens, which ``tokenizers`` takes out of a text before it splits it."""
+    added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, added))) if added else None
 
 
 @lru_cache(maxsize=2)
@@ -70,10 +81,11 @@ def encode(texts: list[str], path: str) -> list[list[int]]:
     Texts of Latin letters (below U+0180, no C1 controls) go through the same
     vocabulary and splitting pattern as merge ranks, which gives the same ids
     four times as fast; the two libraries could only differ in the Unicode
-    classes of other letters, whose texts go through ``tokenizers`` itself.
+    classes of other letters, whose texts go through ``tokenizers`` itself, and
+    so do texts that spell out a special token.
     """
-    ranked = _ranked(path)
-    plain = [ranked is not None and not _OTHER.search(x) for x in texts]
+    ranked, special = _ranked(path), _special(path)
+    plain = [ranked is not None and not _OTHER.search(x) and not (special and special.search(x)) for x in texts]
     rest = [x for x, fast in zip(texts, plain) if not fast]
     slow = iter(_tokenizer(path).encode_batch_fast(rest, add_special_tokens=False) if rest else ())
     return [ranked.encode_ordinary(x) if fast else next(slow).ids for x, fast in zip(texts, plain)]
@@ -110,60 +122,120 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Stretches (length, rank, count, sequence, offset) of best-fit decreasing over length classes."""
-    gaps: dict[int, deque[list[int]]] = {}  # gap -> stretches [first sequence, how many]
-    sizes: list[int] = []  # the gaps there are, sorted
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = deque()
-                insort(sizes, gap)
-            last = gaps[gap][-1] if gaps[gap] else None
-            if last and last[0] + last[1] == first:
-                last[1] += n
-            else:
-                gaps[gap].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, n = gaps[gap][0]
-                take = min(n, left)
-                if take == n:
-                    gaps[gap].popleft()
-                    if not gaps[gap]:
-                        del gaps[gap]
-                        sizes.pop(at)
-                else:
-                    gaps[gap][0] = [first + take, n - take]
-            else:
-                gap, first, take = capacity, opened, left
-                opened += take
-            out.append((length, rank, take, first, capacity - gap))
-            put(gap - length, first, take)
-            rank, left = rank + take, left - take
-    return out
+def _numbered(rows: DataFrame, *order: Column, tag: str = "pack-sorted") -> DataFrame:
+    """``rows`` range-sorted by ``order`` and written, with ``g``: 0, 1, 2 ... in that order."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = materialize(placed, tag)
+    part = F.shiftright("_m", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))  # a row a part
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn("g", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_before")
+
+
+def _open(left: DataFrame, capacity: int, first: int, need: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed(id, sequence_id, offset), gaps(seq, gap), left(id, length)) after opening ``need`` sequences, or as many as ``left(g, id, length)`` needs at least.
+
+    ``g`` numbers ``left`` from the longest piece on. Sequences are numbered from ``first``.
+    """
+    need = -(-left.agg(F.sum("length")).first()[0] // capacity) if need is None else need
+    fill = F.floor(capacity / F.col("length")).cast("int")
+    bands = left.groupBy(fill.alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("start"))
+    groups = F.ceil(F.col("n") / F.col("q"))
+    bands = bands.withColumn("before", F.coalesce(F.sum(groups).over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = left.withColumn("q", fill).join(F.broadcast(bands), "q").withColumn("seq", F.col("before") + F.floor((F.col("g") - F.col("start")) / F.col("q")))
+    opened = F.col("seq") < need
+    own = Window.partitionBy("seq").orderBy("g")
+    inside = dealt.where(opened).select("id", (F.col("seq") + first).alias("seq"), "length", "g")
+    placed = inside.withColumn("offset", F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = materialize(placed.select("id", F.col("seq").alias("sequence_id"), "offset", "length"), "pack-opened")
+    gaps = placed.groupBy(F.col("sequence_id").alias("seq")).agg((capacity - F.sum("length")).alias("gap")).where("gap > 0")
+    return placed.drop("length"), materialize(gaps, "pack-gaps"), materialize(dealt.where(~opened).select("id", "length"), "pack-left")
+
+
+def _sweep(gaps: DataFrame, items: DataFrame) -> DataFrame:
+    """``gaps(seq, gap)`` with what each takes of ``items(size, a, b)``: size, a, b, or nulls."""
+    both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), F.lit(0).cast("long").alias("b"))
+    both = both.unionByName(items.select("size", F.lit(1).alias("kind"), "a", "b"))
+    order = (F.desc("size"), F.col("kind"), F.xxhash64("a", "b"), F.col("a"), F.col("b"))
+    placed = _numbered(both, *order, tag="pack-sweep")
+    classes = placed.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("start"))
+    down = Window.orderBy(F.desc("size"), "kind")
+    running = down.rowsBetween(Window.unboundedPreceding, 0)
+    classes = classes.withColumn("c", F.row_number().over(down)).withColumn("h", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(running))
+    # Open gaps after a class: what the lowest point so far falls short of zero never opened.
+    classes = classes.withColumn("open", F.col("h") - F.least(F.lit(0), F.min("h").over(running)))
+    classes = classes.withColumn("was", F.coalesce(F.lag("open").over(down), F.lit(0))).select("size", "kind", "start", "c", "was")
+    ranked = placed.join(F.broadcast(classes), ["size", "kind"]).withColumn("r", F.col("g") - F.col("start"))
+    depth = F.when(F.col("kind") == 0, F.col("was") + F.col("r") + 1).otherwise(F.col("was") - F.col("r"))
+    levelled = ranked.withColumn("depth", depth).where("depth > 0").select("depth", "c", "kind", "size", "a", "b")
+    pair = F.lead(F.struct("kind", "size", "a", "b")).over(Window.partitionBy("depth").orderBy("c"))
+    found = levelled.withColumn("next", pair).where("kind = 0").withColumn("next", F.when(F.col("next.kind") == 1, F.col("next")))
+    return materialize(found.select(F.col("a").alias("seq"), F.col("size").alias("gap"), "next.size", "next.a", "next.b"), "pack-pairs")
+
+
+def _step(left: DataFrame, gaps: DataFrame, capacity: int, keys: tuple[Column, Column], single: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, gaps, left) after one superstep over ``left``, whose ``keys`` are those of its items."""
+    keyed = left.withColumn("a", keys[0].cast("long")).withColumn("b", keys[1].cast("long"))
+    items = keyed.select(F.col("length").alias("size"), "a", "b") if single else keyed.groupBy("a", "b").agg(F.sum("length").alias("size"))
+    pairs = _sweep(gaps, items)
+    taken = pairs.where("size IS NOT NULL").select("a", "b", "seq", (capacity - F.col("gap")).alias("at"))
+    joined = keyed.join(taken.hint("shuffle_hash"), ["a", "b"], "left")
+    place = F.lit(0) if single else F.row_number().over(Window.partitionBy("a", "b").orderBy("id")) - 1
+    joined = materialize(joined.withColumn("offset", F.col("at") + place * F.col("length")), "pack-step")
+    placed = joined.where("seq IS NOT NULL").select("id", F.col("seq").alias("sequence_id"), "offset")
+    gaps = pairs.select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")).where("gap > 0")
+    return placed, gaps, joined.where("seq IS NULL").select(*left.columns)
+
+
+def _widest(gaps: DataFrame) -> int:
+    return gaps.agg(F.max("gap")).first()[0] or 0
+
+
+def _shortest(left: DataFrame) -> int:
+    """The length of the shortest piece; 0 where there are none."""
+    return left.agg(F.min("length")).first()[0] or 0
 
 
 def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
-    """``cut_pieces`` with sequence_id and offset. ``cut_pieces`` needs doc_id, piece, ids_crc32 and length."""
-    spark = cut_pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    stretches = best_fit(counts, capacity)
-    schema = "length long, _rank0 long, _count long, _seq0 long, offset long"
-    plan = spark.createDataFrame(stretches, schema)
-    parts = max(4, min(4096, sum(counts.values()) // PART_ROWS + 1))
-    ranked = gapless_rank(cut_pieces, ["length"], F.struct("doc_id", "piece", "ids_crc32"), "_rank", parts, [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
-    inside = (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("_rank0")) & (F.col("_rank") < F.col("_rank0") + F.col("_count"))
-    placed = ranked.join(F.broadcast(plan) if len(stretches) <= 20 * capacity else plan, inside).drop(plan["length"])
-    return placed.withColumn("sequence_id", F.col("_seq0") + F.col("_rank") - F.col("_rank0")).drop("_rank", "_rank0", "_count", "_seq0")
+    """``cut_pieces`` with sequence_id and offset. ``cut_pieces`` needs doc_id, piece, ids_crc32 and length.
+
+    First, pieces longer than half the capacity open a sequence each, as they
+    must. From then on as many are opened as the tokens that are left need at
+    least; half of them at least are placed so each time, which ends the loop.
+    """
+    order = (F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"))
+    every = _numbered(cut_pieces, *order)
+    left = every.select("g", F.col("g").alias("id"), "length")
+    found, first, short = [], 0, int(capacity * SHORT)
+    need = left.where(F.col("length") > capacity // 2).count()
+    while _shortest(left):
+        again = bool(found)
+        placed, gaps, left = _open(left, capacity, first, need if need and not again else None)
+        first = placed.agg(F.max("sequence_id")).first()[0] + 1
+        found.append(placed)
+        tall, low = left.where(F.col("length") > short), left.where(F.col("length") <= short)
+        while (least := _shortest(tall)) and least <= _widest(gaps):
+            placed, gaps, tall = _step(tall, gaps, capacity, (F.col("length"), F.col("id")), True)
+            found.append(placed)
+        # Short pieces fill what is left in the end.
+        if (again or not least) and _shortest(low):
+            sizes = _numbered(low, F.desc("length"), F.col("id"))
+            starts = sizes.groupBy("length").agg(F.min("g").alias("_s"))  # a row a length
+            low = sizes.join(F.broadcast(starts), "length").select("id", "length", (F.col("g") - F.col("_s")).alias("r"))
+            total = capacity
+            while total and (least := _shortest(low)) and least <= (widest := _widest(gaps)):
+                total = min(total, 1 << (widest.bit_length() - 1))
+                bundle = F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(total / F.col("length"))))
+                placed, gaps, low = _step(low, gaps, capacity, (F.col("length"), bundle), False)
+                found.append(placed)
+                total = total // 2 or 1  # single pieces until none fits
+        left = _numbered(tall.select("id", "length").unionByName(low.select("id", "length")), F.desc("length"), F.col("id"))
+    where = cut_pieces.sparkSession.createDataFrame([], "id long, sequence_id long, offset long")
+    for placed in found:
+        where = where.unionByName(placed.select("id", F.col("sequence_id").cast("long"), F.col("offset").cast("long")))
+    return every.join(where.withColumnRenamed("id", "g"), "g").drop("g")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
