@@ -442,6 +442,32 @@ def test_chat_collapse(spark):
     assert len(parts[100]) == 3 and chat.format_chats(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [2, 4096])
+def test_chats_equal_sql_whatever_the_turn_numbers(spark, monkeypatch, tmp_path, heavy):
+    """Turn numbers from 1,020, from epoch time, negative and null, masses of equal ones, and more than 1,024 turns."""
+    import duckdb
+
+    from tidewater.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rng = random.Random(24)
+    rows = []
+    for k, (start, step) in enumerate([(1020, 1), (1_700_000_000_000, 977), (-3, 1), (1 << 40, 1 << 33), (5, 0), (0, 1)] * 4):
+        for n in range(rng.randrange(1, 12)):
+            rows.append((k, start + n * step, ("user", "assistant")[n % 2], f"t{n}" if k % 3 else f"{k} {n}"))
+    rows += [(50, None, "user", f"{n % 7}"*(n % 90)) for n in range(300)] + [(51, 3, None, "x" * 70 + str(n)) for n in range(2200)] + [(52, n, "user", "x") for n in range(1024)] + [(53, n, "user", "x") for n in range(1025)] + [(54, 0, "user", None), (None, 1, "user", "t")]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/c")
+    got = chat.format_chats(frame)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    expected = con.execute(queries.CHATS)
+    columns = [d[0] for d in expected.description]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected.fetchall())
+    assert {(r["conv_id"], r["part"]) for r in got.collect()} >= {(51, 0), (51, 1), (51, 2), (53, 0), (53, 1)}
+
+
 # --- 7
 
 

@@ -8,8 +8,10 @@ Whole conversations with equal hashes collapse to the smallest conv_id, and an
 anti-join against the proper prefixes of all others retains the maximal ones.
 What is retained is rendered.
 
-Long conversations are numbered, hashed and rendered in parts of turns, so no
-task sorts or gathers a whole conversation that holds a large share of all rows.
+All turns are range-sorted together, so a conversation that holds a large share
+of them is numbered by many tasks, whatever its turn numbers are. Its turns are
+hashed and rendered in parts of ``PART`` of them, and joins by conversation
+leave the turns of large ones where they are.
 """
 
 from __future__ import annotations
@@ -17,40 +19,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import counted_join, materialize, numbered
 
-#: Turns whose numbers share a part of a conversation; rendered rows hold one part.
+#: Turns of a part of a conversation; rendered rows hold one part.
 PART = 1024
+#: Characters by which turns with the same number are dealt to ranges, before they are sorted by their whole texts.
+BEGIN = 64
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n (place from 1), role, text, h1, h2: cleaned turns, each once, with rolled hashes."""
-    clean = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parted = clean.withColumn("part", F.floor(F.col("turn") / PART)).repartition("conv_id", "part").dropDuplicates(["conv_id", "part", "turn", "role", "text"])
-    own = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    local = materialize(parted.withColumn("local", F.row_number().over(own)), "chat-turns")
-    parts = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = local.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("size"))
-    starts = sizes.withColumn("base", F.coalesce(F.sum("size").over(parts), F.lit(0))).drop("size")
-    placed = local.join(starts, ["conv_id", "part"]).withColumn("n", F.col("base") + F.col("local")).drop("base", "local")
-    hashed = placed.withColumn("t1", F.xxhash64("n", "role", "text")).withColumn("t2", F.xxhash64(F.lit("second"), "n", "text", "role"))
-    sums = hashed.groupBy("conv_id", "part").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
-    before = [F.coalesce(F.bit_xor(c).over(parts), F.lit(0)).alias(b) for c, b in (("s1", "b1"), ("s2", "b2"))]
-    rolled = hashed.join(sums.select("conv_id", "part", *before), ["conv_id", "part"])
+    clean = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    begin = [F.left(c, F.lit(BEGIN)) for c in ("role", "text")]
+    sorted_turns = numbered(clean, [F.col(c) for c in ("conv_id", "turn", "role", "text")], "chat-turns", [F.col("conv_id"), F.col("turn"), *begin])
+    starts = materialize(sorted_turns.groupBy("conv_id").agg(F.min("g").alias("start"), F.count(F.lit(1)).alias("n")), "chat-starts")
+    placed = counted_join(sorted_turns, starts, ["conv_id"]).withColumn("n", F.col("g") - F.col("start") + 1)
+    hashed = placed.select("conv_id", F.floor((F.col("n") - 1) / PART).alias("part"), "n", "role", "text").withColumn("t1", F.xxhash64("n", "role", "text")).withColumn("t2", F.xxhash64(F.lit("second"), "n", "text", "role"))
     run = Window.partitionBy("conv_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    halves = [F.col(b).bitwiseXOR(F.bit_xor(t).over(run)).alias(h) for t, b, h in (("t1", "b1", "h1"), ("t2", "b2", "h2"))]
-    return rolled.select("conv_id", "part", "n", "role", "text", *halves)
+    local = materialize(hashed.select("conv_id", "part", "n", "role", "text", F.bit_xor("t1").over(run).alias("l1"), F.bit_xor("t2").over(run).alias("l2")), "chat-hashed")
+    # A part's last turn has the part's sum.
+    sums = local.groupBy("conv_id", "part").agg(F.max_by(F.struct("l1", "l2"), "n").alias("s"))
+    parts = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.bit_xor(f"s.{c}").over(parts), F.lit(0)).alias(b) for c, b in (("l1", "b1"), ("l2", "b2"))]
+    halves = [F.col(b).bitwiseXOR(F.col(c)).alias(h) for c, b, h in (("l1", "b1", "h1"), ("l2", "b2", "h2"))]
+    return local.join(sums.select("conv_id", "part", *before), ["conv_id", "part"]).select("conv_id", "part", "n", "role", "text", *halves)
 
 
 def collapse(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns of the maximal conversations, (conv_id, n_turns, n_same) of them)."""
+    """(turns of all conversations, (conv_id, n_turns, n_same) of the maximal ones)."""
     turns = materialize(_turns(conversations), "chat-rolled")
-    length = turns.groupBy("conv_id").agg(F.max("n").alias("n"))
-    prefixes = turns.select("conv_id", "n", "h1", "h2")
-    whole = prefixes.join(length, ["conv_id", "n"])
     by = ["n", "h1", "h2"]
+    prefixes = turns.select("conv_id", *by)
+    whole = prefixes.groupBy("conv_id").agg(F.max_by(F.struct(*by), "n").alias("w")).select("conv_id", "w.*")
     same = whole.groupBy(*by).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_same"))
-    proper = prefixes.join(length.withColumnRenamed("n", "total"), "conv_id").where("n < total").select(*by).distinct()
+    proper = prefixes.join(whole.select("conv_id", "n"), ["conv_id", "n"], "left_anti").select(*by).distinct()
     maximal = materialize(same.join(proper, by, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_same"), "chat-maximal")
     return turns, maximal
 
@@ -60,7 +62,8 @@ def render(turns: DataFrame, maximal: DataFrame, template: tuple[str, str, str]
     opening, middle, closing = template
     line = F.concat(F.lit(opening), "role", F.lit(middle), "text", F.lit(closing))
     ordered = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
-    grouped = turns.select("conv_id", "part", "n", "role", "text").join(maximal, "conv_id").groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), ordered.alias("lines"))
+    chosen = counted_join(turns.select("conv_id", "part", F.col("n").alias("at"), "role", "text"), maximal.withColumn("n", F.col("n_turns")), ["conv_id"]).withColumnRenamed("at", "n")
+    grouped = chosen.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_same").alias("n_same"), ordered.alias("lines"))
     text: Column = F.array_join(F.transform("lines", lambda x: x["line"]), "")
     return grouped.select("conv_id", F.col("part").cast("long"), "n_turns", "n_same", F.get("lines", F.lit(0))["n"].alias("first_turn"), text.alias("rendered"))
 
@@ -72,7 +75,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     and texts are empty); a turn repeated whole counts once. Rows without conv_id
     are no conversation and are left out. Of equal conversations the smallest
     conv_id stays, and n_same counts them. Conversations of up to 1,024 turns
-    make one row, longer ones a row for each 1,024 turn numbers. Other columns are not
-    read; an empty table gives an empty result.
+    make one row, whatever their turn numbers, longer ones a row for each 1,024
+    turns. Other columns are not read; an empty table gives an empty result.
     """
     return render(*collapse(conversations))

@@ -4,6 +4,7 @@
   executors share (``spark.checkpoint.dir``), so a lost executor costs a reread
   and never a recomputation from scratch.
 * ``gapless_rank`` numbers rows without sorting a whole group in one task.
+* ``numbered`` gives every row its number in a global order.
 * ``components`` finds connected components by alternating large-star and
   small-star passes.
 * ``counted_join`` joins a table of counted keys so that no hot key lands in one
@@ -88,6 +89,22 @@ def gapless_rank(df: DataFrame, group: list[str], spread: Column, out: str, buck
     return parted.withColumn("_local", local).join(starts, keys, "left").withColumn(out, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
 
 
+def numbered(rows: DataFrame, order: list[Column], tag: str, spread: list[Column] | None = None) -> DataFrame:
+    """``rows`` range-sorted by ``order`` and written, with ``g``: 0, 1, 2 ... in that order.
+
+    ``spread`` deals rows to the ranges where keys of ``order`` are too long for
+    that: columns that rise with it. Rows that tie should be equal.
+    """
+    placed = rows.repartitionByRange(*(spread or order)).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = materialize(placed, tag)
+    part = F.shiftright("_m", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))  # a row a part
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn("g", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_before")
+
+
 def components(edges: DataFrame, tag: str, limit: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges(a, b)``; root is the smallest node reached.
 

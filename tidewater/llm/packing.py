@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, materialize, numbered
 
 #: Pieces up to this share of the capacity are dealt in bundles.
 SHORT = 1 / 16
@@ -122,18 +122,6 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
-def _numbered(rows: DataFrame, *order: Column, tag: str = "pack-sorted") -> DataFrame:
-    """``rows`` range-sorted by ``order`` and written, with ``g``: 0, 1, 2 ... in that order."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = materialize(placed, tag)
-    part = F.shiftright("_m", 33).alias("_part")
-    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))  # a row a part
-    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return out.withColumn("g", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_before")
-
-
 def _open(left: DataFrame, capacity: int, first: int, need: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed(id, sequence_id, offset), gaps(seq, gap), left(id, length)) after opening ``need`` sequences, or as many as ``left(g, id, length)`` needs at least.
 
@@ -158,8 +146,8 @@ def _sweep(gaps: DataFrame, items: DataFrame) -> DataFrame:
     """``gaps(seq, gap)`` with what each takes of ``items(size, a, b)``: size, a, b, or nulls."""
     both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), F.lit(0).cast("long").alias("b"))
     both = both.unionByName(items.select("size", F.lit(1).alias("kind"), "a", "b"))
-    order = (F.desc("size"), F.col("kind"), F.xxhash64("a", "b"), F.col("a"), F.col("b"))
-    placed = _numbered(both, *order, tag="pack-sweep")
+    order = [F.desc("size"), F.col("kind"), F.xxhash64("a", "b"), F.col("a"), F.col("b")]
+    placed = numbered(both, order, "pack-sweep")
     classes = placed.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("start"))
     down = Window.orderBy(F.desc("size"), "kind")
     running = down.rowsBetween(Window.unboundedPreceding, 0)
@@ -205,8 +193,8 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     must. From then on as many are opened as the tokens that are left need at
     least; half of them at least are placed so each time, which ends the loop.
     """
-    order = (F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"))
-    every = _numbered(cut_pieces, *order)
+    order = [F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece")]
+    every = numbered(cut_pieces, order, "pack-sorted")
     left = every.select("g", F.col("g").alias("id"), "length")
     found, first, short = [], 0, int(capacity * SHORT)
     need = left.where(F.col("length") > capacity // 2).count()
@@ -221,7 +209,7 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
             found.append(placed)
         # Short pieces fill what is left in the end.
         if (again or not least) and _shortest(low):
-            sizes = _numbered(low, F.desc("length"), F.col("id"))
+            sizes = numbered(low, [F.desc("length"), F.col("id")], "pack-sorted")
             starts = sizes.groupBy("length").agg(F.min("g").alias("_s"))  # a row a length
             low = sizes.join(F.broadcast(starts), "length").select("id", "length", (F.col("g") - F.col("_s")).alias("r"))
             total = capacity
@@ -231,7 +219,7 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
                 placed, gaps, low = _step(low, gaps, capacity, (F.col("length"), bundle), False)
                 found.append(placed)
                 total = total // 2 or 1  # single pieces until none fits
-        left = _numbered(tall.select("id", "length").unionByName(low.select("id", "length")), F.desc("length"), F.col("id"))
+        left = numbered(tall.select("id", "length").unionByName(low.select("id", "length")), [F.desc("length"), F.col("id")], "pack-sorted")
     where = cut_pieces.sparkSession.createDataFrame([], "id long, sequence_id long, offset long")
     for placed in found:
         where = where.unionByName(placed.select("id", F.col("sequence_id").cast("long"), F.col("offset").cast("long")))

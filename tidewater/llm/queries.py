@@ -77,16 +77,17 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT m.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, m.vec_id = c.root AS kept
 FROM embeddings m JOIN c ON c.id = m.vec_id LEFT JOIN n ON n.a = m.vec_id"""
 
-#: Prefixes compared by the digest of the joined turns; conversations of up to 1,024 turns.
+#: Prefixes compared by the digest of the joined turns; a row for each 1,024 turns.
 CHATS = """WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t),
 p AS (SELECT conv_id, n, md5(string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY n)) AS h FROM k),
-w AS (SELECT conv_id, max(n) AS n, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY n) AS rendered FROM k GROUP BY conv_id),
-f AS (SELECT w.conv_id, w.n, p.h, w.rendered FROM w JOIN p ON p.conv_id = w.conv_id AND p.n = w.n),
+w AS (SELECT conv_id, max(n) AS n FROM k GROUP BY conv_id),
+r AS (SELECT conv_id, (n - 1) // 1024 AS part, min(n) AS first_turn, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY n) AS rendered FROM k GROUP BY conv_id, (n - 1) // 1024),
+f AS (SELECT w.conv_id, w.n, p.h FROM w JOIN p ON p.conv_id = w.conv_id AND p.n = w.n),
 s AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS n_same FROM f GROUP BY n, h),
 x AS (SELECT DISTINCT p.n, p.h FROM p JOIN w ON w.conv_id = p.conv_id WHERE p.n < w.n)
-SELECT s.conv_id, CAST(0 AS BIGINT) AS part, s.n AS n_turns, s.n_same, CAST(1 AS BIGINT) AS first_turn, f.rendered
-FROM s JOIN f ON f.conv_id = s.conv_id WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.n = s.n AND x.h = s.h)"""
+SELECT s.conv_id, r.part, s.n AS n_turns, s.n_same, r.first_turn, r.rendered
+FROM s JOIN r ON r.conv_id = s.conv_id WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.n = s.n AND x.h = s.h)"""
 
 
 def oracle_sql() -> dict[str, str]:
