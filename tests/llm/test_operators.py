@@ -85,6 +85,24 @@ def test_flow_moves_the_fewest_bytes():
         sharding.min_cost_flow([5], [4])
 
 
+def test_closed_form_moves_as_few_as_the_flow():
+    rng = random.Random(25)
+    for _ in range(40):
+        n, m = rng.randrange(1, 9), rng.randrange(1, 9)
+        supply = [rng.randrange(0, 50) for _ in range(n)]
+        capacity = sharding.even_capacities(sum(supply), m) if rng.random() < 0.5 else [rng.randrange(0, 60) for _ in range(m)]
+        if sum(capacity) < sum(supply):
+            with pytest.raises(ValueError):
+                sharding.fewest_moves(supply, capacity)
+            continue
+        moves, flow = sharding.fewest_moves(supply, capacity), sharding.min_cost_flow(supply, capacity)
+        assert [sum(v for (i, _), v in moves.items() if i == k) for k in range(n)] == supply
+        assert all(sum(v for (_, j), v in moves.items() if j == k) <= capacity[k] for k in range(m)) and len(moves) <= n + m
+        assert sum(v for (i, j), v in moves.items() if i != j) == sum(v for (i, j), v in flow.items() if i != j)
+    supply = [rng.randrange(10**12) for _ in range(100_000)]
+    assert len(sharding.fewest_moves(supply, sharding.even_capacities(sum(supply), 120_000))) < 220_000
+
+
 def test_shards(spark):
     texts = [x for x in odd_texts() if not x or len(x) < 9000] + [words(random.Random(k), 5 + k % 90) for k in range(3000)]
     docs = docs_of(spark, texts).withColumn("size", F.lit("clash")).withColumn("shard", F.lit(1))
@@ -263,6 +281,30 @@ def test_embeddings_of_low_rank_lose_no_pair(spark, monkeypatch, rank):
     assert all(got[k]["component_id"] == expected[k] for k in range(len(x)))
 
 
+def test_what_is_shipped_for_ten_million_vectors():
+    """Neither closure holds a matrix of cells by cells."""
+    from pyspark import cloudpickle
+
+    class Shipped:  # stands for a broadcast variable, of which a closure holds the number only
+        value = None
+
+    cells = -(-10_000_000 // embedding.CELL_BLOCK)
+    blocks = np.ones(cells, dtype=np.int64)
+    assert len(cloudpickle.dumps(embedding._deal(Shipped(), 0.45, blocks, "<f4"))) < 1 << 20 and cells * 1024 * 8 < 64 << 20
+
+
+def test_visits_cross_every_bisector_in_reach():
+    rng = np.random.default_rng(5)
+    x, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(200, 8)), rng.normal(size=(12, 8))))
+    home = (x @ c.T).argmax(axis=1)
+    got = embedding.visits(x, home, c, 0.3)
+    for n in range(200):
+        for k in range(12):
+            normal = c[home[n]] - c[k]
+            behind = (x[n] @ normal) / np.linalg.norm(normal) if k != home[n] else 0.0
+            assert got[n, k] == (behind <= 0.3)
+
+
 def test_fold():
     assert toxicity.fold("Héllo, W0RLD!") == " héllo world "
     assert toxicity.fold("") == "  " and toxicity.fold("2024 12") == " 2024 12 "
@@ -659,6 +701,33 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [0, 50_000])
+def test_drawn_shares_meet_the_targets(spark, monkeypatch, cells):
+    """Cells that are too short for their weight are made up for by others of their margins."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
+    rng = random.Random(26)
+    rows = [(n, words(rng, rng.randrange(20, 40)) + rng.choice([" license", " price", "", "", ""]), "fr" if rng.random() < (0.7 if n % 50 == 0 else 0.1) else "en", "rare" if n % 50 == 0 else rng.choice("ab"), 0) for n in range(20_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    asked = {"source": {"a": 0.54, "b": 0.42, "rare": 0.04}}
+    told = {(r["margin"], r["value"]): r for r in mixing.report(mixing.rake(mixing.cells_of(docs), asked, 0.5, keep=0.75)).collect()}
+    assert all(abs(r["target"] - r["share"]) < 2e-3 for r in told.values())
+    assert all(told["source", v]["asked"] == s for v, s in asked["source"].items())
+    a, b, rare = (told["source", v]["target"] for v in ("a", "b", "rare"))
+    assert a / b == pytest.approx(0.54 / 0.42) and a + b + rare == pytest.approx(1) and 0.025 < rare < 0.028
+    drawn = mixing.mix(docs, asked, 0.5)
+    share = {(m, r["value"]): r["t"] for m, c in (("source", "source"), ("lang", "lang"), ("topic", "_topic")) for r in drawn.groupBy(F.col(c).alias("value")).agg(F.sum(mixing.token_count(F.col("text"))).alias("t")).collect()}
+    total = sum(t for (m, _), t in share.items() if m == "source")
+    assert share.keys() == told.keys() and len(told) == 8
+    assert all(abs(share[k] / total - r["target"]) < 0.01 for k, r in told.items()), (share, told)
+    assert abs(total / sum(len(r[1].split()) for r in rows) - 0.75) < 0.02
+
+
+def test_topics(spark):
+    texts = ["", None, "no such words", "License and terms, PRICE", "click the menu to buy", "licensed", "the license.error file", "x" * 9000]
+    got = docs_of(spark, texts).select(mixing.topic_of(F.coalesce("text", F.lit(""))).alias("t")).collect()
+    assert [r["t"] for r in got] == ["other", "other", "other", "legal", "web", "other", "technical", "other"]
+
+
 # --- 10
 
 

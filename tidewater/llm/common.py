@@ -141,8 +141,16 @@ SCREEN_BITS, BITMAP_ROW = 1 << 26, 1 << 15
 
 
 def counted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Both parts of ``counted_parts``."""
+    hot, cold = counted_parts(left, right, keys, how)
+    return hot.unionByName(cold)
+
+
+def counted_parts(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> tuple[DataFrame, DataFrame]:
     """``left`` joined to ``right(keys, n, ...)``, whose keys are unique and found ``n`` times in ``left``; how: inner or left_semi.
 
+    The first part has the rows of hot keys, the second, dealt by ``keys``, all others.
+
     Keys with more than one in HEAVY of all counted rows, fewer than HEAVY of
     them, are broadcast, so their rows stay where they are; the others are
     shuffled, and none of them has more than that share. ``right`` should be a
@@ -152,7 +160,7 @@ def counted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     hot = F.col("n") * HEAVY > total
     heavy, light = right.where(hot).drop("n"), right.where(~hot).drop("n")
     cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("shuffle_hash"), keys, how)
-    return left.join(F.broadcast(heavy), keys, how).unionByName(cold)
+    return left.join(F.broadcast(heavy), keys, how), cold
 
 
 def screen(rows: DataFrame, key: Column, members: DataFrame, member: Column) -> tuple[DataFrame, DataFrame]:

@@ -70,40 +70,47 @@ def _packed(kind: str):
     return run
 
 
-def _homes(unit: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    near = unit @ centre.T
-    return near, near.argmax(axis=1)
+def _rows(centre: np.ndarray) -> int:
+    """Vectors that are held against all centroids at a time: a matrix of 4 million at most."""
+    return max(16, min(2048, (1 << 22) // len(centre)))
 
 
-def _home(centre: np.ndarray, kind: str):
-    """(rid, n, raw) to (rid, n, raw, home)."""
+def _home(centre, kind: str):
+    """(rid, n, raw) to (rid, n, raw, home); ``centre`` is a broadcast variable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centre.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                home = _homes(_units(part.column(2), kind), centre)[1]
+            for at in range(0, batch.num_rows, _rows(c)):
+                part = batch.slice(at, _rows(c))
+                home = (_units(part.column(2), kind) @ c.T).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32))], names=["rid", "n", "raw", "home"])
 
     return run
 
 
-def _deal(centre: np.ndarray, reach: float, blocks: np.ndarray, kind: str):
+def visits(unit: np.ndarray, home: np.ndarray, centre: np.ndarray, reach: float) -> np.ndarray:
+    """Matrix of vectors and cells: whether the vector lies within ``reach`` of the hyperplane that bisects its home and the cell."""
+    near = unit @ centre.T
+    homes, back = np.unique(home, return_inverse=True)
+    gap = np.sqrt(np.maximum(2 - 2 * centre[homes] @ centre.T, 1e-18))
+    out = near[np.arange(len(home)), home][:, None] - near <= reach * gap[back]
+    out[np.arange(len(home)), home] = True
+    return out
+
+
+def _deal(centre, reach: float, blocks: np.ndarray, kind: str):
     """Each vector once for every pair of blocks it may have a link in; ``own`` is its block, ``blocks`` counts those of a cell."""
-    gap = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 1e-18))
     first = np.concatenate([[0], np.cumsum(blocks)])
     cell_of = np.repeat(np.arange(len(blocks)), blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centre.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, _rows(c)):
+                part = batch.slice(at, _rows(c))
                 home, spread = part.column(3).to_numpy(), part.column(4).to_numpy()
-                near = _units(part.column(2), kind) @ centre.T
-                behind = (near[np.arange(len(home)), home][:, None] - near) / gap[home]
-                visit = behind <= reach
-                visit[np.arange(len(home)), home] = True
-                row, other = np.nonzero(visit[:, cell_of])
+                row, other = np.nonzero(visits(_units(part.column(2), kind), home, c, reach)[:, cell_of])
                 own = (first[home] + spread % blocks[home])[row]
                 take = pa.array(row)
                 ends = [pa.array(x.astype(np.int32)) for x in (own, np.minimum(own, other), np.maximum(own, other))]
@@ -157,7 +164,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing: n_links 0, component_id their own vec_id. Vectors of
-    different lengths are never linked. Repeated rows count as other vectors.
+    different lengths are never linked; each length is a pass of its own. Repeated rows
+    count as other vectors. A null vec_id links with nothing.
     Labels and other columns are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -175,9 +183,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         mine = units.where(F.col("dim") == dim)
         cells = min(MAX_CELLS, -(-count // CELL_BLOCK))
         sample = mine.select("raw", F.xxhash64("raw").alias("h")).orderBy("h").limit(SAMPLE).select("raw").toArrow()["raw"]
-        centre = fit_centroids(_units(sample, kind), cells)
+        centre = spark.sparkContext.broadcast(fit_centroids(_units(sample, kind), cells))  # MAX_CELLS at most
         homes = materialize(mine.select("rid", "n", "raw").mapInArrow(_home(centre, kind), "rid long, n long, raw binary, home int"), "emb-cells")
-        blocks = np.ones(len(centre), dtype=np.int64)
+        blocks = np.ones(len(centre.value), dtype=np.int64)
         for r in homes.groupBy("home").count().collect():
             blocks[r["home"]] = -(-r["count"] // CELL_BLOCK)
         reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6

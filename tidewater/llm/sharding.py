@@ -2,8 +2,10 @@
 
 Old shard sizes are supplies, new capacities are demands, and moving a byte
 from shard i to shard j costs 0 where i = j and 1 (or a given price) elsewhere.
-Successive shortest paths solve the transport problem on the matrix of shards,
-whose size is the number of shards and not of documents. The flow is then cut
+Without prices the cheapest flow is known in closed form: each shard keeps what
+fits, and surpluses are laid along deficits in order, with fewer transfers than
+shards. With prices, successive shortest paths solve the transport problem on
+the matrix of shards, whose size is not that of documents. The flow is then cut
 into blocks: documents of a giving shard are laid out small first, and each
 transfer takes the stretch of documents that its bytes cover, so a cut misses
 its target by at most one of the smaller documents. Shards that neither give
@@ -21,6 +23,8 @@ from .common import gapless_rank, materialize
 
 #: Rows that one part of a shard should have when positions are numbered.
 PART_ROWS = 100_000
+#: Parts of a class of sizes in a shard, at most, unless there are more cores.
+MAX_PARTS = 4096
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]] | None = None) -> dict[tuple[int, int], int]:
@@ -72,6 +76,28 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]
     return {(i, j): flow[i][j] for i in range(n) for j in range(m) if flow[i][j]}
 
 
+def fewest_moves(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """The cheapest flow at one price for every move, in time linear in the number of shards; at most that many transfers."""
+    if sum(supply) > sum(capacity):
+        raise ValueError("the capacities are smaller than the supply")
+    flow = {}
+    kept = [min(s, c) for s, c in zip(supply, capacity)]
+    for k, n in enumerate(kept):
+        if n:
+            flow[k, k] = n
+    room = ((j, c - (kept[j] if j < len(kept) else 0)) for j, c in enumerate(capacity))
+    j, free = next(room, (0, 0))
+    for i, s in enumerate(supply):
+        left = s - (kept[i] if i < len(kept) else 0)
+        while left:
+            while not free:
+                j, free = next(room)
+            n = min(left, free)
+            flow[i, j] = flow.get((i, j), 0) + n
+            left, free = left - n, free - n
+    return flow
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
@@ -81,7 +107,7 @@ def plan(sized: DataFrame, capacities: list[int] | None, shards: int) -> dict[tu
     totals = {r["old_shard"]: r["bytes"] for r in sized.groupBy("old_shard").agg(F.sum("size").cast("long").alias("bytes")).collect()}
     supply = [totals.get(s, 0) for s in range(max([shards - 1, *totals]) + 1)]
     goal = capacities or even_capacities(sum(supply), shards)
-    return min_cost_flow(supply, goal)
+    return fewest_moves(supply, goal)
 
 
 def _cuts(spark: SparkSession, flow: dict[tuple[int, int], int]) -> DataFrame:
@@ -89,10 +115,12 @@ def _cuts(spark: SparkSession, flow: dict[tuple[int, int], int]) -> DataFrame:
 
     What stays is laid out last, with the large documents.
     """
-    rows = []
-    for i in sorted({i for i, _ in flow}):
+    rows, goes = [], {}
+    for i, j in flow:
+        goes.setdefault(i, []).append(j)
+    for i in sorted(goes):
         at = 0
-        for j in sorted((j for k, j in flow if k == i), key=lambda j: (j == i, j)):
+        for j in sorted(goes[i], key=lambda j: (j == i, j)):
             rows.append((i, j, at, at + flow[i, j]))
             at += flow[i, j]
         rows[-1] = (*rows[-1][:3], (1 << 62))
@@ -103,8 +131,9 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, shard
     """``rows`` with size, old_shard and new_shard, moving the fewest bytes to capacities (even ones by default).
 
     ``old_shard`` is an integer from 0; a null counts as 0. ``size`` must be
-    non-negative; a null counts as 0. Equal rows may part. An empty table gives
-    an empty result.
+    non-negative; a null counts as 0. Equal rows may part. Other columns are carried
+    along (those named size, old_shard and new_shard are replaced). An empty table
+    gives an empty result.
     """
     spark = rows.sparkSession
     sized = rows.withColumn("size", F.coalesce(size, F.lit(0)).cast("long")).withColumn("old_shard", F.coalesce(old_shard, F.lit(0)).cast("int"))
@@ -114,7 +143,7 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, shard
     if not flow:
         return sized.withColumn("new_shard", stays)
     # Position in the old shard's layout: classes of size, parts of a class by hash, rows within a part.
-    parts = max(1, spark.sparkContext.defaultParallelism, count)
+    parts = max(1, spark.sparkContext.defaultParallelism, min(count, MAX_PARTS))
     laid = sized.withColumn("_class", F.floor(F.log2(F.col("size") + 1)).cast("int")).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     by = ["old_shard", "_class", "_part"]
     sums = laid.groupBy(*by).agg(F.sum("size").cast("long").alias("_bytes"))
@@ -122,7 +151,7 @@ def reshard(rows: DataFrame, old_shard: Column, size: Column, key: Column, shard
     starts = sums.withColumn("_start", F.coalesce(F.sum("_bytes").over(order), F.lit(0))).drop("_bytes")
     inner = Window.partitionBy(*by).orderBy("size", key).rowsBetween(Window.unboundedPreceding, -1)
     placed = laid.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, by).withColumn("_at", F.col("_start") + F.col("_in"))
-    cuts = F.broadcast(_cuts(spark, flow))  # at most shards squared rows
+    cuts = F.broadcast(_cuts(spark, flow))  # fewer rows than old and new shards together
     middle = F.col("_at") + F.expr("size div 2")
     inside = (placed["old_shard"] == cuts["old_shard"]) & (middle >= F.col("lo")) & (middle < F.col("hi"))
     joined = placed.join(cuts, inside, "left").drop(cuts["old_shard"]).withColumn("new_shard", F.coalesce("new_shard", stays))
@@ -157,6 +186,8 @@ def shard_table(docs: DataFrame, old_shards: int, shards: int) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes of the text and 8; a null text has none),
     text_crc32 (0 for null and empty texts), law, shard, slot, grown_shard, old_shard.
+    Null doc_ids are placed like any other. Repeated rows come out repeated, each with a
+    slot of its own; other columns are not read; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
