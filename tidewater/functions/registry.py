@@ -23,11 +23,18 @@ WINDOW_AGGREGATES = (*BASES, "stddev", "stddev_pop", "stddev_samp", "var_pop", "
 
 
 def text(x: str) -> str:
-    """SQL text that writes the value ``x``."""
+    """SQL text that writes the value ``x``; six decimals are rounded half to even, from the number's exact value."""
     number = f"try_cast({x} AS DOUBLE)"
-    plain = f"regexp_replace(regexp_replace(printf('%.6f', {number}), '0+$', ''), '[.]$', '')"
-    special = f"CASE WHEN isnan({number}) THEN 'NaN' WHEN {number} = double('infinity') THEN 'inf' WHEN {number} = double('-infinity') THEN '-inf' ELSE {plain} END"
-    return f"CASE WHEN typeof({x}) IN ('double', 'float') THEN {special} ELSE CAST({x} AS STRING) END"
+    # The product with a million and what its rounding lost, exactly: the number is split into two halves of 26 bits.
+    split = "named_struct('a', abs(d), 'h', abs(d) * 134217729D - (abs(d) * 134217729D - abs(d)))"
+    product = "named_struct('p', s.a * 1e6D, 'e', (s.h * 1e6D - s.a * 1e6D) + (s.a - s.h) * 1e6D)"
+    half = "(q.p - floor(q.p))"
+    up = f"CASE WHEN {half} > 0.5D OR ({half} = 0.5D AND (q.e > 0 OR (q.e = 0 AND floor(q.p) % 2 = 1))) THEN 1L ELSE 0L END"
+    digits = _let("n", f"CAST(floor(q.p) AS BIGINT) + {up}", "concat(CAST(n div 1000000L AS STRING), '.', lpad(CAST(n % 1000000L AS STRING), 6, '0'))")
+    exact = _let("s", split, _let("q", product, digits))
+    plain = f"regexp_replace(CASE WHEN abs(d) < 9e9D THEN concat(CASE WHEN d < 0 THEN '-' ELSE '' END, {exact}) ELSE printf('%.6f', d) END, '[.]?0+$', '')"
+    special = f"CASE WHEN isnan(d) THEN 'NaN' WHEN d = double('infinity') THEN 'inf' WHEN d = double('-infinity') THEN '-inf' ELSE {plain} END"
+    return f"CASE WHEN typeof({x}) IN ('double', 'float') THEN {_let('d', number, special)} ELSE CAST({x} AS STRING) END"
 
 
 def _let(name: str, value: str, body: str) -> str:

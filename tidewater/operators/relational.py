@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import NAMES, expression
+from ..functions.registry import BASES, NAMES, expression, text
 
 
 def project(df: DataFrame, *expressions: str) -> DataFrame:
@@ -51,12 +51,56 @@ def distribute(df: DataFrame, how: str, partitions: int, *keys: str) -> DataFram
 
 
 def aggregate(df: DataFrame, keys: list[str], **features: tuple) -> DataFrame:
-    """GROUP BY with standard and custom aggregates: name=(function, arg, ...)."""
+    """GROUP BY with standard and custom aggregates: name=(function, arg, ...).
+
+    Custom aggregates are worked out by category (or value) first and then by
+    key, so that no task holds the rows of a group: memory grows with the
+    categories of a key. Each is joined to the others by key.
+    """
+    plain = {n: f for n, f in features.items() if f[0] not in NAMES or ("cate" not in f[0] and f[0].endswith("_where"))}
     columns = []
-    for name, (function, *args) in features.items():
+    for name, (function, *args) in plain.items():
         sql = expression(function, args) if function in NAMES else f"{function}({', '.join(args) or '*'})"
         columns.append(F.expr(sql).alias(name))
-    return df.groupBy(*keys).agg(*columns)
+    out = df.groupBy(*keys).agg(*(columns or [F.count(F.lit(1)).alias("__all")]))
+    for name, (function, *args) in features.items():
+        if name in plain:
+            continue
+        part = _by_category(df, keys, function, args).withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        empty = F.lit(0.0) if function == "top1_ratio" else F.lit("")
+        out = out.join(part, same, "left").withColumn(name, F.coalesce("__f", empty)).drop("__f", *(f"__{k}" for k in keys))
+    return out.select(*keys, *features)
+
+
+def _by_category(df: DataFrame, keys: list[str], function: str, args: list[str]) -> DataFrame:
+    """(keys, __f): the aggregate ``function`` in two stages."""
+    named = [F.col(k) for k in keys]
+    if function == "top":
+        value, n = args
+        rows = df.select(*named, F.expr(value).alias("__v")).where("__v IS NOT NULL")
+        first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__v")))).where(f"__r <= CAST({n} AS INT)")
+        listed = F.sort_array(F.collect_list("__v"), asc=False)
+        return first.groupBy(*keys).agg(listed.alias("__l")).select(*named, F.expr(f"array_join(transform(__l, x -> {text('x')}), ',')").alias("__f"))
+    if function in ("topn_frequency", "top1_ratio"):
+        counted = df.select(*named, F.expr(args[0]).alias("d")).where("d IS NOT NULL").groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("c"))
+        ranked = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("c", "d")), asc=False).alias("__l"), F.sum("c").alias("__n"))
+        made = "CAST(__l[0].c AS DOUBLE) / __n" if function == "top1_ratio" else f"array_join(transform(slice(__l, 1, CAST({args[1]} AS INT)), x -> {text('x.d')}), ',')"
+        return ranked.select(*named, F.expr(made).alias("__f"))
+    ratio, top = function.endswith("ratio_cate"), function.startswith("top_n_")
+    base = next(b for b in ("ratio", *BASES) if b in function.split("_"))
+    value, cond, cate = (args[0], "true", args[1]) if function == f"{base}_cate" else args[:3]
+    rows = df.select(*named, F.expr(value).alias("__v"), F.coalesce(F.expr(cond), F.lit(False)).alias("__c"), F.expr(cate).alias("k")).where("k IS NOT NULL")
+    rows = rows.where("__v IS NOT NULL") if ratio else rows.where("__c")
+    metric = F.avg(F.col("__c").cast("double")) if ratio else F.expr(f"{base}(__v)")
+    pairs = rows.groupBy(*keys, "k").agg(metric.alias("m")).where("m IS NOT NULL")
+    pair = f"concat({text('p.k')}, ':', {text('p.m')})"
+    if not top:
+        return pairs.groupBy(*keys).agg(F.collect_list(F.struct("k", "m")).alias("__l")).select(*named, F.expr(f"array_join(array_sort(transform(__l, p -> {pair})), ',')").alias("__f"))
+    order = F.struct("m", "k") if "_value_" in function else F.struct("k", "m")
+    return pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(order), asc=False).alias("__l")).select(*named, F.expr(f"array_join(transform(slice(__l, 1, CAST({args[3]} AS INT)), p -> {pair}), ',')").alias("__f"))
 
 
 REDUCTIONS = ("min", "max", "sum", "count", "average")

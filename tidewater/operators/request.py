@@ -25,8 +25,10 @@ def request_features(
     """
     reach = max(f.length_us for f in features)
     width = bucket_us or max(1, reach)
-    names = list(dict.fromkeys([*keys, time, *(c for c in events.columns if c in requests.columns)]))
-    asked = requests.withColumn("__rid", F.sha2(F.to_json(F.struct(*requests.columns)), 256))  # equal requests have equal answers
+    # Without their own row, requests may hold keys and time only.
+    names = list(dict.fromkeys([*keys, time, *(c for c in events.columns if exclude_current_row or c in requests.columns)]))
+    row = [F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in requests.dtypes]
+    asked = requests.withColumn("__rid", F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("second"), *row).alias("b")))  # equal requests have equal answers
     asked = asked.withColumn("__at", micros(F.col(time), dict(requests.dtypes)[time]))
     keyed = asked.select("__rid", "__at", *(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     low, high = F.floor((F.col("__at") - reach) / width), F.floor(F.col("__at") / width)

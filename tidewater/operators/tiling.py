@@ -1,17 +1,20 @@
 """Long windows from pre-aggregated time tiles.
 
-Values are summed up once per (key, granularity, tile). A row's window is the
-raw rows at its ragged edges and whole tiles between, the coarsest aligned ones
-first; the answer equals the untiled one, only fewer rows meet in the join. All
-of sum, count, avg, min and max are merged from (sum, count, min, max).
+Values are summed up once per (key, tile). A row's window has three parts: its
+own tile up to the row, whole tiles, and the end of the tile its far edge lies
+in. The first is a running aggregate within the tile, the second a RANGE frame
+over the tiles of a key, worked out once a tile and not once a row, and the
+third a running aggregate from the tile's end back to the edge. So a row costs
+the same however many rows its window holds, a key is spread over tasks by its
+tiles, and the answer equals the untiled one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .window import micros
+from .window import Feature, micros, window_features
 
 SECOND_US = 1_000_000
 #: Default granularities of one minute, five minutes, one hour and one day.
@@ -54,47 +57,65 @@ def build_tiles(df: DataFrame, keys: list[str], time: str, value: str, tiles_us:
     return each.groupBy(*keys, "g", (F.floor(F.col("tile") / F.col("g")) * F.col("g")).alias("tile")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _run(start: Column, end: Column, g: int) -> Column:
-    """(g, tile) of the tiles from ``start`` to ``end``."""
-    tiles = F.transform(F.sequence(start, end - g, F.lit(g)), lambda t: F.struct(F.lit(g).cast("long").alias("g"), t.cast("long").alias("tile")))
-    return F.when(start < end, tiles).otherwise(F.array().cast("array<struct<g:bigint,tile:bigint>>"))
+def chosen_tile(tiles_us: tuple[int, ...], length_us: int, most: int = 256) -> int | None:
+    """The finest granularity of which at most ``most`` make the window, else the coarsest that is not longer; None where all are longer."""
+    fit = [g for g in check_tiles(tiles_us) if g <= length_us]
+    return next((g for g in fit if length_us <= most * g), fit[-1] if fit else None)
 
 
-def tiled_features(df: DataFrame, keys: list[str], time: str, value: str, length_us: int, row_id: str, tiles_us: tuple[int, ...] = DEFAULT_TILES_US) -> DataFrame:
+FUNCTIONS = ("sum", "count", "avg", "min", "max")
+
+
+def tiled_features(df: DataFrame, keys: list[str], time: str, value: str, length_us: int, row_id: str, tiles_us: tuple[int, ...] = DEFAULT_TILES_US, functions: tuple[str, ...] = FUNCTIONS, prefix: str = "w_") -> DataFrame:
     """``df`` with w_sum, w_count, w_avg, w_min and w_max of ``value`` over [time - length, row] in (time, row_id) order.
 
-    Pieces are found by equi-joins only: each row lists the (granularity, tile)
-    pairs that cover its window, raw edges being pieces of the finest tile whose
-    rows are filtered by time. ``row_id`` must be unique.
+    ``functions`` names those to add, after ``prefix``. ``row_id`` must be unique
+    within a time of a key. Rows with a null time are left out. Windows shorter than
+    every tile are plain ones.
     """
-    ordered = check_tiles(tiles_us)
-    fine = ordered[0]
-    rows = df.where(F.col(time).isNotNull()).withColumn("__ts", micros(F.col(time), dict(df.dtypes)[time]))
-    asks = rows.select(*keys, F.col(row_id).alias("__rid"), F.col("__ts").alias("__end"), (F.col("__ts") - length_us).alias("__from"))
-    # Whole finest tiles lie strictly inside (from, end); coarser ones replace runs of them.
-    lo = F.ceil(F.col("__from") / fine) * fine
-    hi = F.floor(F.col("__end") / fine) * fine
-    bounds = asks.withColumn("__lo", F.least(lo, hi)).withColumn("__hi", hi)
-    pieces = []
-    left, right = F.col("__lo"), F.col("__hi")
-    for g, coarser in zip(ordered, [*ordered[1:], None]):
-        if coarser is None:
-            pieces.append(_run(left, right, g))
-            continue
-        up = F.least(F.ceil(left / coarser) * coarser, right)
-        down = F.greatest(F.floor(right / coarser) * coarser, up)
-        for a, b in ((left, up), (down, right)):
-            pieces.append(_run(a, b, g))
-        left, right = up, down
-    listed = bounds.select(*keys, "__rid", F.explode(F.concat(*pieces)).alias("p")).select(*keys, "__rid", F.col("p.g").alias("g"), F.col("p.tile").alias("tile"))
-    tiles = build_tiles(rows, keys, time, value, ordered).withColumn("g", F.col("g").cast("long")).withColumn("tile", F.col("tile").cast("long"))
-    inner = listed.join(tiles, [*keys, "g", "tile"]).select("__rid", "s", "n", "lo", "hi")
-    # Raw edges: rows of the tiles that hold the two ends.
-    raw = rows.select(*keys, F.col(row_id).alias("__eid"), F.col("__ts").alias("__et"), F.col(value).alias("__v"), (F.floor(F.col("__ts") / fine) * fine).alias("__tile"))
-    ends = bounds.select(*keys, "__rid", "__end", "__from", "__lo", "__hi", F.explode(F.array_distinct(F.array(F.floor(F.col("__from") / fine) * fine, F.floor(F.col("__end") / fine) * fine))).alias("__tile"))
-    at_edge = (F.col("__et") >= F.col("__from")) & ((F.col("__et") < F.col("__lo")) | (F.col("__et") >= F.col("__hi")))
-    not_later = (F.col("__et") < F.col("__end")) | ((F.col("__et") == F.col("__end")) & (F.col("__eid") <= F.col("__rid")))
-    edges = ends.join(raw, [*keys, "__tile"]).where(at_edge & not_later).select("__rid", F.col("__v").alias("s"), F.when(F.col("__v").isNotNull(), 1).otherwise(0).cast("long").alias("n"), F.col("__v").alias("lo"), F.col("__v").alias("hi"))
-    merged = inner.unionByName(edges).groupBy("__rid").agg(F.sum("s").alias("w_sum"), F.sum("n").alias("w_count"), F.min("lo").alias("w_min"), F.max("hi").alias("w_max"))
-    out = df.where(F.col(time).isNotNull()).join(merged, F.col(row_id) == F.col("__rid"), "left").drop("__rid")
-    return out.withColumn("w_count", F.coalesce("w_count", F.lit(0))).withColumn("w_avg", F.try_divide("w_sum", "w_count"))
+    kinds = dict(df.dtypes)
+    g = chosen_tile(tiles_us, length_us)
+    if g is None:
+        made = [Feature(f"{prefix}{f}", f, (value,), length_us) for f in functions]
+        return window_features(df, keys, time, made, row_id)
+    by = [*keys, "__tile"]
+    stamp = micros(F.col(time), kinds[time])
+    rows = df.where(F.col(time).isNotNull()).withColumn("__ts", stamp).withColumn("__tile", F.floor(F.col("__ts") / g) * g).withColumn("__v", F.col(value))
+    # Whole tiles between: ``k`` tiles back lies the one with the far edge; k takes one value, or two where tiles do not divide the length.
+    backs = sorted({-(-length_us // g), length_us // g})
+    tiles = rows.groupBy(*by).agg(*(f.alias(f"t_{x}") for x, f in zip("snlh", _plain("__v", raw=True))))
+    frames = {}
+    for k in backs:
+        over = Window.partitionBy(*keys).orderBy("__tile").rangeBetween(-(k - 1) * g, -g)
+        frames |= {f"m{k}_{x}": f.over(over) if k > 1 else F.lit(None).cast("long") for x, f in zip("snlh", _plain("t_"))}
+    middle = tiles.select(*(F.col(c).alias(f"__k{n}") for n, c in enumerate(keys)), F.col("__tile").alias("__at"), *(f.alias(c) for c, f in frames.items()))
+    same = F.col("__tile") == F.col("__at")
+    for n, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{n}"))
+    head = Window.partitionBy(*by).orderBy("__ts", row_id).rowsBetween(Window.unboundedPreceding, 0)
+    first = rows.select("*", *(f.over(head).alias(f"a_{x}") for x, f in zip("snlh", _plain("__v", raw=True))))
+    joined = first.join(middle, same, "left")
+    edge = F.col("__ts") - length_us
+    back = ((F.col("__tile") - F.floor(edge / g) * g) / g).cast("long")
+    for x in "snlh":
+        pick = F.lit(None)
+        for k in backs:
+            pick = F.when(back == k, F.col(f"m{k}_{x}")).otherwise(pick)
+        joined = joined.withColumn(f"b_{x}", pick)
+    ask = joined.select(*df.columns, *(f"{p}_{x}" for p in "ab" for x in "snlh"), (F.floor(edge / g) * g).alias("__tile"), edge.alias("__from"), F.lit(1).alias("__ask"), F.lit(None).cast(kinds[value] if value in kinds else "double").alias("__v"))
+    seen = rows.select(*keys, "__tile", F.col("__ts").alias("__from"), F.lit(0).alias("__ask"), "__v")
+    tail = Window.partitionBy(*by).orderBy(F.desc("__from"), "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = ask.unionByName(seen, allowMissingColumns=True)
+    done = both.select("*", *(f.over(tail).alias(f"c_{x}") for x, f in zip("snlh", _plain("__v", raw=True)))).where("__ask = 1")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = zero("a_n") + zero("b_n") + zero("c_n")
+    total = F.when(n > 0, zero("a_s") + zero("b_s") + zero("c_s"))
+    answers = {"sum": total, "count": n, "avg": F.try_divide(total, n), "min": F.least("a_l", "b_l", "c_l"), "max": F.greatest("a_h", "b_h", "c_h")}
+    return done.select(*df.columns, *(answers[f].alias(f"{prefix}{f}") for f in functions))
+
+
+def _plain(p: str, raw: bool = False) -> list[Column]:
+    """sum, count, min and max of a value, or of tiles' parts with the prefix ``p``."""
+    if raw:
+        return [F.sum(p), F.count(p), F.min(p), F.max(p)]
+    return [F.sum(f"{p}s"), F.sum(f"{p}n"), F.min(f"{p}l"), F.max(f"{p}h")]

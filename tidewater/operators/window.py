@@ -3,9 +3,11 @@
 A row's frame holds the rows of its key from ``length`` before its time
 (inclusive) up to the row itself in the order of (time, sequence): of rows at
 one time, later ones are not seen. Spark's RANGE frames include all peers, so
-rows are ordered by one number made of the time in microseconds and the rank
-among peers; one spare bit keeps all peers at the far edge in, and all rows a
-microsecond earlier out.
+rows are ordered by one whole number made of the time in microseconds and the
+rank among peers; twice the room that ranks take keeps all peers at the far edge
+in, and all rows a microsecond earlier out. The number is a decimal of 38 digits:
+any timestamp and 10**12 peers fit, and frames over it cost what they cost over
+a long.
 
 All windows of one call share one shuffle by key and one sort.
 """
@@ -13,15 +15,16 @@ All windows of one call share one shuffle by key and one sort.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import NAMES, WINDOW_AGGREGATES, expression
 
-#: Bits below the time: ranks of peers up to 2,047, and the spare bit.
-TIE_BITS = 12
-MAX_TIES = 1 << (TIE_BITS - 1)
+#: Peers of a row, and what a microsecond counts in the order number.
+MAX_TIES = 10**12
+UNIT = 2 * MAX_TIES
 CURSOR, SLICE = "__cursor", "__slice"
 
 
@@ -44,21 +47,28 @@ def micros(time: Column, kind: str) -> Column:
     return F.unix_micros(time)
 
 
-def with_cursor(df: DataFrame, keys: list[str], time: str, sequence: str | None) -> DataFrame:
-    """``df``, dealt by ``keys``, with the order number ``__cursor``; ``sequence`` None: times are unique within a key."""
+def with_cursor(df: DataFrame, keys: list[str], time: str, sequence: str | None, name: str = CURSOR) -> DataFrame:
+    """``df``, dealt by ``keys``, with the order number ``name``; ``sequence`` None: times are unique within a key."""
     stamp = micros(F.col(time), dict(df.dtypes)[time])
     dealt = df.repartition(*keys) if keys else df
     if sequence is None:
-        return dealt.withColumn(CURSOR, stamp * (1 << TIE_BITS))
+        return dealt.withColumn(name, order_number(stamp, F.lit(0)))
     tie = F.row_number().over(Window.partitionBy(*keys, time).orderBy(sequence)) - 1
-    checked = F.when(tie < MAX_TIES, tie).otherwise(F.raise_error(F.lit(f"more than {MAX_TIES} rows of a key share one time")).cast("int"))
-    return dealt.withColumn(CURSOR, stamp * (1 << TIE_BITS) + checked)
+    return dealt.withColumn(name, order_number(stamp, tie))
+
+
+def order_number(stamp: Column, tie: Column) -> Column:
+    return (stamp.cast("decimal(20,0)") * F.lit(Decimal(UNIT)) + tie.cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
+def reach_text(length_us: int) -> str:
+    """The frame's reach in order numbers: all peers at its far edge, nothing before them."""
+    return f"CAST({length_us * UNIT + MAX_TIES - 1} AS DECIMAL(38,0))"
 
 
 def frame_text(keys: list[str], length_us: int) -> str:
-    reach = length_us * (1 << TIE_BITS) + MAX_TIES - 1
     by = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
-    return f"({by}ORDER BY `{CURSOR}` RANGE BETWEEN {reach}L PRECEDING AND CURRENT ROW)"
+    return f"({by}ORDER BY `{CURSOR}` RANGE BETWEEN {reach_text(length_us)} PRECEDING AND CURRENT ROW)"
 
 
 def aggregate_text(function: str, args: list[str], over: str) -> str:

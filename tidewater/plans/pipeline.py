@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.request import request_features
-from ..operators.window import CURSOR, Feature, with_cursor
+from ..operators.tiling import tiled_features
+from ..operators.window import Feature, with_cursor
 from ..schema import struct_from_json
-from ..sinks.writers import MemoryStore, count_rows, write_parquet
+from ..sinks.writers import CountStore, MemoryStore, count_rows, write_parquet
 from ..sources import datagen, files
 from ..streaming.window import StreamFeature, sliding_windows
 from .features import parse
 from .spec import PipelineSpec, SourceSpec
-from .sqlrewrite import exact_frames, rewrite
+from .sqlrewrite import cursor_name, exact_frames, rewrite
 
 
 def load(spark: SparkSession, source: SourceSpec, streaming: bool) -> DataFrame:
@@ -35,28 +37,75 @@ def load(spark: SparkSession, source: SourceSpec, streaming: bool) -> DataFrame:
 def compile_query(spark: SparkSession, spec: PipelineSpec, streaming: bool = False) -> DataFrame:
     """The DataFrame of the specification's SQL over its sources.
 
-    Interval frames end at the current row, not at its last peer, if all windows
-    of the statement share keys and time and read a source directly
-    (``exact_ties``). Ties are ordered by ``sequence``.
+    Interval frames of a statement that reads one source directly end at the
+    current row, not at its last peer (``exact_ties``); a RANGE frame that can't be
+    made so is refused. Over joins, frames are SQL's. Ties are ordered by
+    ``sequence``, without one in the order they are read.
     """
-    sql, wanted = exact_frames(spec.sql) if spec.exact_ties and not streaming else (spec.sql, None)
+    if spec.tiles_ms and not streaming:
+        return tiled(spark, spec)
     frames = {s.name: load(spark, s, streaming) for s in spec.sources}
-    direct = [n for n, df in frames.items() if wanted and set(wanted[0]) | {wanted[1]} <= set(df.columns)]
-    if wanted and len(direct) != 1:
-        sql, wanted = spec.sql, None
+    sql, cursors = exact_frames(spec.sql) if spec.exact_ties and not streaming else (spec.sql, [])
+    kinds = {s.name: s.kind for s in spec.sources}
+    # Windows over joined or derived tables order their own rows, which no cursor of a source can.
+    direct = [n for n, df in frames.items() if cursors and all({*keys, time} <= set(df.columns) for keys, time in cursors)]
+    if cursors and (len(direct) != 1 or _derived(spec.sql)):
+        sql, cursors = spec.sql, []
     for name, df in frames.items():
-        if wanted and name == direct[0]:
-            order = spec.sequence or "__order"  # without a sequence, rows count in the order they are read
-            df = with_cursor(df if spec.sequence else df.withColumn(order, F.monotonically_increasing_id()), *wanted, order)
+        if cursors and name == direct[0]:
+            order = spec.sequence or "__order"
+            df = df if spec.sequence else df.withColumn(order, _read_order(kinds[name]))
+            for n, (keys, time) in enumerate(cursors):
+                df = with_cursor(df, keys, time, order, cursor_name(n))
             df = df if spec.sequence else df.drop(order)
         if streaming:
             df = _watermarked(df, spec)
         df.createOrReplaceTempView(name)
-    out = spark.sql(rewrite(sql))
-    out = out.drop(CURSOR) if CURSOR in out.columns else out
+    out = spark.sql(rewrite(sql)).drop(*(cursor_name(n) for n in range(len(cursors))))
     return out.repartition(spec.parallelism) if spec.parallelism and not streaming else out
 
 
+def _read_order(kind: str) -> Column:
+    """The order rows are read in: place in the files, which no split or retry changes, or in the task where there are none."""
+    return F.struct("_metadata.file_path", "_metadata.row_index") if kind == "parquet" else F.monotonically_increasing_id()
+
+
+def _derived(sql: str) -> bool:
+    return bool(re.search(r"\bJOIN\b", sql, re.IGNORECASE))
+
+
+def tiled(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
+    """A statement of sums, counts, averages, minima and maxima over tiles of ``tiles_ms``; the answer is that without tiles.
+
+    Streams and requests accept tiles and answer without them.
+    """
+    parts = parse(spec.sql)
+    if wrong := [f.function for f in parts.features if f.function not in ("sum", "count", "avg", "min", "max")]:
+        raise ValueError(f"no tiles for {wrong}")
+    source = next(s for s in spec.sources if s.name == parts.source)
+    rows = load(spark, source, False)
+    order = spec.sequence or "__order"
+    rows = rows if spec.sequence else rows.withColumn(order, _read_order(source.kind))
+    rows = rows.alias(parts.alias or parts.source)
+    rows = rows.where(parts.where) if parts.where else rows
+    args = {f: f"__arg{n}" for n, f in enumerate(parts.features)}
+    rows = rows.withColumns({name: F.expr(f.args[0] if f.args else "1") for f, name in args.items()})
+    names = {}
+    for n, (f, arg) in enumerate(args.items()):
+        names[f] = f"__w{n}"
+        rows = tiled_features(rows, list(parts.keys), parts.time, arg, f.length_us, order, tuple(1000 * t for t in spec.tiles_ms), (f.function,), f"__w{n}_").withColumnRenamed(f"__w{n}_{f.function}", f"__w{n}")
+    plain = [c for c in load(spark, source, False).columns]
+    chosen = []
+    for item in parts.items:
+        if isinstance(item, Feature):
+            chosen.append(F.col(names[item]).alias(item.name))
+        elif item == "*":
+            chosen += [F.col(c) for c in plain]
+        else:
+            chosen.append(F.expr(re.sub(rf"\b{re.escape(parts.alias or parts.source)}\.", "", item)))
+    return rows.select(*chosen)
+
+
 def _watermarked(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     time = next((c for c, t in df.dtypes if t == "timestamp"), None)
     return df.withWatermark(time, f"{spec.event_time.watermark.out_of_orderness_ms} milliseconds") if time else df
@@ -68,7 +117,7 @@ def compile_stream(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
     Columns come out as the batch has them, in the statement's order. The watermark
     is put on the column that the frames order by, at its source.
     """
-    if " OVER " not in spec.sql.upper():
+    if not re.search(r"\bOVER\b", re.sub(r"'(?:[^'\\]|\\.)*'", "", spec.sql), re.IGNORECASE):
         return compile_query(spark, spec, streaming=True)
     parts = parse(spec.sql)
     source = next(s for s in spec.sources if s.name == parts.source)
@@ -101,23 +150,29 @@ def compile_request(spark: SparkSession, spec: PipelineSpec) -> Callable[[DataFr
     return request_function(events, list(parts.keys), parts.time, list(parts.features), bool((spec.request or {}).get("exclude_current_row")))
 
 
-def run(spark: SparkSession, spec: PipelineSpec) -> DataFrame | StreamingQuery | MemoryStore | int | Callable[[DataFrame], DataFrame] | None:
+def run(spark: SparkSession, spec: PipelineSpec) -> DataFrame | StreamingQuery | MemoryStore | CountStore | int | Callable[[DataFrame], DataFrame] | None:
     """Runs a batch or streaming specification into its sink; a request specification gives its answering function."""
     if spec.mode == "request":
         return compile_request(spark, spec)
     streaming = spec.mode == "streaming"
+    if streaming and spec.checkpoint.interval_ms:
+        spark.conf.set("spark.sql.streaming.minBatchesToRetain", str(max(2, spec.checkpoint.retained)))
     df = compile_stream(spark, spec) if streaming else compile_query(spark, spec)
     sink = spec.sink
     if sink is None:
         return df
     o = dict(sink.options)
     if sink.kind == "parquet":
-        return write_parquet(df, **o, **({"checkpoint": spec.checkpoint.location} if streaming else {}))
+        return write_parquet(df, **o, **({"checkpoint": spec.checkpoint.location, "trigger_ms": spec.checkpoint.interval_ms} if streaming else {}))
     if sink.kind == "count":
-        return count_rows(df)
+        if not streaming:
+            return count_rows(df)
+        counted = CountStore()
+        counted.query = counted.stream(df, spec.checkpoint.location, spec.checkpoint.interval_ms)
+        return counted
     store = o.get("store") or MemoryStore(o.get("keys"))
     if streaming:
-        store.query = store.stream(df, spec.checkpoint.location, o.get("order"))
+        store.query = store.stream(df, spec.checkpoint.location, o.get("order"), spec.checkpoint.interval_ms)
     else:
         store.write(df, o.get("order"))
     return store

@@ -12,6 +12,8 @@ SINKS = ("parquet", "in_memory", "request", "count")
 
 @dataclass(frozen=True)
 class WatermarkSpec:
+    """``idle_timeout_ms`` is accepted and has no effect: Spark's watermark is the query's, not a partition's, so an idle partition never holds it back."""
+
     out_of_orderness_ms: int = 0
     idle_timeout_ms: int | None = 1000
 
@@ -24,6 +26,8 @@ class EventTimeSpec:
 
 @dataclass(frozen=True)
 class CheckpointSpec:
+    """Every micro-batch is a checkpoint: ``interval_ms`` is the trigger's, ``retained`` the batches that can be gone back to (two at least); ``timeout_ms`` has no effect."""
+
     interval_ms: int = 0
     timeout_ms: int = 60_000
     retained: int = 1
@@ -71,6 +75,8 @@ class PipelineSpec:
                 raise ValueError(f"{s.name}: source is one of {SOURCES}")
         if self.sink and self.sink.kind not in SINKS:
             raise ValueError(f"sink is one of {SINKS}")
+        if self.sink and self.sink.kind == "request" and self.mode != "request":
+            raise ValueError("the request sink answers requests: it needs the mode request")
         if self.mode == "request" and not self.request:
             raise ValueError("request mode needs a request source")
         c = self.checkpoint

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import re
+from datetime import timedelta
+
+from pyspark.sql import SparkSession
+from pyspark.sql.types import DayTimeIntervalType
 
 from ..functions.registry import NAMES, expression
-from ..operators.window import CURSOR, MAX_TIES, TIE_BITS
+from ..operators.window import CURSOR, reach_text
 
 _CALL = re.compile(r"\b(" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")\s*\(", re.IGNORECASE)
 _SKIP = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
-_UNITS = {"MILLISECOND": 10**3, "SECOND": 10**6, "MINUTE": 60 * 10**6, "HOUR": 3600 * 10**6, "DAY": 86_400 * 10**6}
 _FRAME = re.compile(
-    r"PARTITION\s+BY\s+(?P<keys>[\w`.,\s]+?)\s+ORDER\s+BY\s+(?P<time>[\w`.]+)\s+RANGE\s+BETWEEN\s+INTERVAL\s+'?(?P<n>\d+)'?\s+(?P<unit>MILLISECOND|SECOND|MINUTE|HOUR|DAY)S?\s+PRECEDING\s+AND\s+CURRENT\s+ROW",
-    re.IGNORECASE,
+    r"PARTITION\s+BY\s+(?P<keys>[\w`.,\s]+?)\s+ORDER\s+BY\s+(?P<time>[\w`.]+)(?:\s+ASC)?\s+RANGE\s+BETWEEN\s+(?P<interval>INTERVAL\b(?:(?!\bPRECEDING\b)[^()])+?)\s+PRECEDING\s+AND\s+CURRENT\s+ROW",
+    re.IGNORECASE | re.DOTALL,
 )
+_RANGE = re.compile(r"\bRANGE\s+BETWEEN\b", re.IGNORECASE)
+
+
+def interval_us(text: str) -> int:
+    """Microseconds of an interval literal, read by Spark's own parser; months have no fixed length and are refused."""
+    found = SparkSession.builder.getOrCreate().sql(f"SELECT {text} AS i")
+    if not isinstance(found.schema["i"].dataType, DayTimeIntervalType):
+        raise ValueError(f"no fixed length: {text}")
+    return found.first()["i"] // timedelta(microseconds=1)
 
 
 def _quoted(sql: str) -> list[tuple[int, int]]:
@@ -64,22 +76,30 @@ def rewrite(sql: str) -> str:
         done = found.start() + len(text)
 
 
-def exact_frames(sql: str) -> tuple[str, tuple[list[str], str] | None]:
-    """``sql`` with its interval frames ordered by the cursor of ``operators.window``, and (keys, time) that the cursor is made of.
+def exact_frames(sql: str) -> tuple[str, list[tuple[list[str], str]]]:
+    """``sql`` with its interval frames ordered by cursors of ``operators.window``, and the (keys, time) that each cursor is made of.
 
-    Only where all windows share keys and time column, as frames of one
-    statement do; otherwise the statement stays and peers are in the frame.
+    Cursor n is the column ``cursor_name(n)``. A RANGE frame of another form is
+    refused, for peers would be in it without a word.
     """
-    found = list(_FRAME.finditer(sql))
-    if not found:
-        return sql, None
-    specs = {(tuple(k.strip().strip("`").split(".")[-1] for k in m["keys"].split(",")), m["time"].strip("`").split(".")[-1]) for m in found}
-    if len(specs) != 1:
-        return sql, None
+    quoted = _quoted(sql)
+    outside = lambda at: not any(s <= at < e for s, e in quoted if sql[s] not in "'`\"")  # noqa: E731  (comments)
+    found = [m for m in _FRAME.finditer(sql) if outside(m.start())]
+    covered = [m.span() for m in found]
+    for m in _RANGE.finditer(sql):
+        if not any(s <= m.start() < e for s, e in quoted) and not any(s <= m.start() < e for s, e in covered):
+            raise ValueError(f"no exact frame can be made of {' '.join(sql[m.start() : m.start() + 80].split())!r}; set exact_ties to false for frames with all peers")
+    specs: list[tuple[list[str], str]] = []
 
     def frame(m: re.Match) -> str:
-        reach = int(m["n"]) * _UNITS[m["unit"].upper()] * (1 << TIE_BITS) + MAX_TIES - 1
-        return f"PARTITION BY {m['keys']} ORDER BY {CURSOR} RANGE BETWEEN {reach}L PRECEDING AND CURRENT ROW"
+        spec = ([k.strip().strip("`").split(".")[-1] for k in m["keys"].split(",")], m["time"].strip("`").split(".")[-1])
+        if spec not in specs:
+            specs.append(spec)
+        return f"PARTITION BY {m['keys']} ORDER BY {cursor_name(specs.index(spec))} RANGE BETWEEN {reach_text(interval_us(m['interval']))} PRECEDING AND CURRENT ROW"
+
+    out = _FRAME.sub(lambda m: frame(m) if outside(m.start()) else m[0], sql)
+    return out, specs
+
 
-    (keys, time), *_ = specs
-    return _FRAME.sub(frame, sql), (list(keys), time)
+def cursor_name(n: int) -> str:
+    return f"{CURSOR}{n}"

@@ -212,14 +212,14 @@ ON x.user_id = r.user_id AND x.ts >= r.ts - INTERVAL 2 DAY AND (x.ts < r.ts OR (
 
 def _requests(spark: SparkSession, sf_dir: str, exclude: bool) -> DataFrame:
     every = events(spark, sf_dir)
-    asked = every.where("event_id % 5 = 0").withColumn("ts", F.expr("ts + INTERVAL '90' MINUTE"))
+    asked = every.withColumn("ts", F.expr("ts + INTERVAL '90' MINUTE"))
     made = [Feature("s", "sum", ("v",), DAY), Feature("n", "count", (), 7 * DAY), Feature("k", "sum_cate", ("v", "event_type"), 7 * DAY)]
     return request_features(every, asked, ["user_id"], "ts", made, exclude).select("event_id", "s", "n", "k")
 
 
 def _requests_sql(exclude: bool) -> str:
     own = "" if exclude else " UNION ALL SELECT event_id, ts, ts, v, event_type FROM r"
-    return f"""WITH e AS ({EVENTS}), r AS (SELECT event_id, user_id, ts + INTERVAL 90 MINUTE AS ts, event_type, v FROM e WHERE event_id % 5 = 0),
+    return f"""WITH e AS ({EVENTS}), r AS (SELECT event_id, user_id, ts + INTERVAL 90 MINUTE AS ts, event_type, v FROM e),
 p AS (SELECT r.event_id AS rid, r.ts AS asked, e.ts AS ts, e.v AS v, e.event_type AS k FROM r JOIN e ON e.user_id = r.user_id AND e.ts <= r.ts AND e.ts >= r.ts - INTERVAL 7 DAY{own}),
 a AS (SELECT rid, CAST(sum(CASE WHEN ts >= asked - INTERVAL 1 DAY THEN v END) AS BIGINT) AS s, count(*) AS n FROM p GROUP BY rid),
 c AS (SELECT rid, string_agg(k || ':' || m, ',' ORDER BY k || ':' || m) AS k FROM (SELECT rid, k, CAST(CAST(sum(v) AS BIGINT) AS VARCHAR) AS m FROM p GROUP BY rid, k) GROUP BY rid)

@@ -42,6 +42,8 @@ class Datagen:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if self.extra:
+            raise ValueError(f"unknown options: {', '.join(sorted(self.extra))}")
         bad = [g.kind for g in self.fields.values() if g.kind not in REPLAYABLE]
         if self.replayable and bad:
             raise ValueError(f"not replayable: {', '.join(sorted(set(bad)))}")
