@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -245,7 +246,7 @@ def test_toxicity(spark):
     disguised = docs_of(spark, [words(rng, 9) + " sc0undr3l " + words(rng, 9), words(rng, 9) + " ѕсоundrеl " + words(rng, 9), words(rng, 9) + " not blockhead " + words(rng, 9), *odd_texts()])
     found = {r["doc_id"]: r["predicted"] for r in toxicity.score(disguised.withColumn("score", F.lit("clash")), lexicon).collect()}
     assert found[0] == found[1] == 1 and not any(found[n] for n in range(2, len(found))) and len(found) == 3 + len(odd_texts())
-    assert toxicity.score(docs.limit(0), toxicity.learn([], [])).count() == 0
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0).selectExpr("doc_id AS key", "text", "0 AS toxic"))).count() == 0
 
 
 def test_embedding_recall_on_the_table(spark):
@@ -883,16 +884,80 @@ def test_queries_equal_sql(spark, name, sf):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected.fetchall())
 
 
-def test_learning_leaves_repeated_rows_on_the_executors(spark, monkeypatch):
-    """A doc_id that repeats, and documents longer than the bound, cost the sample its size only."""
+def test_learning_leaves_rows_on_the_executors(spark, monkeypatch):
+    """A doc_id that repeats and long documents enter the counts whole; a bounded number of rows reaches the driver."""
     monkeypatch.setattr(toxicity, "SAMPLE", 20)
     monkeypatch.setattr(quality, "SAMPLE", 20)
-    rows = [(1, f"vile scum number {n}") for n in range(60)] + [(n, "a calm and pleasant text of words") for n in range(2, 12)] + [(12, "vile " * 6000), (13, None), (14, "")]
+    monkeypatch.setattr(quality, "BLOCKS", 30)
+    rows = [(1, f"vile scum number {n}\nline") for n in range(60)] + [(n, "a calm and pleasant text of words") for n in range(2, 12)] + [(12, "vile " * 6000), (12, "scum line\n" * 3000), (13, None), (14, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(n, int(n not in (1, 12)), int(n in (1, 12))) for n in range(1, 15)], "doc_id long, quality int, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "learn", lambda texts, marks: seen.append(texts) or toxicity.Lexicon())
+    curve = toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "fit_curve", lambda *a: seen.append(a[2]) or curve(*a))
     monkeypatch.setattr(quality, "fit", lambda rows, marks: seen.append(rows) or quality.PRIOR)
-    toxicity.learn_labels(docs, labels)
+    lexicon = toxicity.learn_labels(docs, labels)
     quality.fit_labels(docs, labels)
-    assert [len(x) <= 20 for x in seen] == [True, True] and all(seen) and max(map(len, seen[0])) <= toxicity.LONGEST
+    assert [len(x) for x in seen] == [20, 30] and " scum " in lexicon.weights
+    assert all(len(x) <= quality.BLOCK_LINES for x in seen[1])
+
+
+def slow_rates(folded, marks, odds):
+    p, n = sum(marks), len(marks) - sum(marks)
+    counts = defaultdict(lambda: [0, 0])
+    for text, mark in zip(folded, marks):
+        held = set()
+        for w in text.split():
+            held.add(f" {w} ")
+            held |= {f" {w[:k]}" for k in range(4, 9) if k <= len(w)}
+        for x in held:
+            counts[x][mark] += 1
+    rated = []
+    for x, (miss, hit) in counts.items():
+        weight = np.log((hit + 0.5) / (p + 1)) - np.log((miss + 0.5) / (n + 1))
+        if hit >= 4 and weight >= odds:
+            rated.append((-hit * weight * (1 if x.endswith(" ") else 0.85), len(x), x, weight))
+    return [(x, w) for _, _, x, w in sorted(rated)]
+
+
+def test_lexicon_is_learnt_as_by_plain_counts(spark):
+    rng = random.Random(27)
+    foul = ["scoundrel", "blockhead", "rascal"]
+    texts = [words(rng, 30, 60) + (" " + rng.choice(foul) + ("s " if rng.random() < 0.3 else " ") + words(rng, 9, 60) if k < 90 else " not blockhead " if k % 11 == 0 else "") for k in range(200)]
+    marks = [int(k < 90) for k in range(200)]
+    got = toxicity.learn(spark.createDataFrame([(n, t, m) for n, (t, m) in enumerate(zip(texts, marks))], "key long, text string, toxic int"))
+    folded = [toxicity.fold(t) for t in texts]
+    whole = {x.strip() for x, _ in slow_rates(folded, marks, 1.0)[:1600] if x.endswith(" ")}
+    pairs = defaultdict(lambda: [0, 0])
+    for t, m in zip(folded, marks):
+        w = t.split()
+        for x in {f"{a} {b}" for a, b in zip(w, w[1:]) if a in whole or b in whole}:
+            pairs[x][m] += 1
+    assert set(got.exceptions) == {x for x, (miss, hit) in pairs.items() if miss >= 8 and not hit} >= {"not blockhead"}
+    cut = [re.sub(" (?:" + "|".join(got.exceptions) + ")(?= )", "", t) for t in folded]
+    expected = toxicity.choose(slow_rates(cut, marks, 2.0))
+    assert list(got.weights) == list(expected) and all(got.weights[x] == pytest.approx(w) for x, w in expected.items())
+    assert any(x.startswith(" scoundrel") or x.startswith(" scou") for x in expected)
+
+
+def test_matches_equal_plain_search():
+    """The longest entry at each word, unless an exception phrase covers it."""
+    rng = random.Random(28)
+    for _ in range(300):
+        vocabulary = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(8)]
+        weights = {f" {w} " if rng.random() < 0.5 else f" {w}": rng.randrange(1, 9) for w in rng.sample(vocabulary, 5)}
+        exceptions = tuple({" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 4))) for _ in range(3)})
+        lexicon = toxicity.Lexicon(weights, exceptions)
+        text = " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))) + " "
+        covered = [(m.start(), m.start() + len(e) + 1) for e in exceptions for m in re.finditer(f"(?= {re.escape(e)} )", text)]
+        total = 0
+        for at in (m.start() for m in re.finditer(" ", text)):
+            fits = [e for e in weights if text.startswith(e, at)]
+            if fits:
+                e = max(fits, key=len)
+                total += 0 if any(a <= at and at + len(e) - 1 <= b for a, b in covered) else weights[e]
+        assert lexicon.total(text, lexicon.automaton()) == total
+    many = toxicity.Lexicon({" a ": 1.0}, ("a a",))
+    text, built = " a" * 100_000 + " ", many.automaton()
+    began = time.perf_counter()
+    assert many.total(text, built) == 0 and time.perf_counter() - began < 3

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: 512 texts of 100 KB are 50 MB.
+#: Rows that are worked on at a time.
 ARROW_ROWS = 512
 #: Members of one block; a compared pair of blocks holds this many squared cells.
 BLOCK = 1024
@@ -56,14 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` batch by batch, with batches small enough for long texts."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """``mapInArrow`` by slices of ARROW_ROWS rows; the batches they are cut from are bounded in bytes by the session (64 MB by default)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield f(batch)
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                yield f(batch.slice(at, ARROW_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,8 @@ The field's weights are fitted here, by gradient ascent on the likelihood of
 weakly labelled lines: the lines of documents marked good are content, those of
 documents marked bad are boilerplate at first and are decoded anew between two
 rounds, since bad documents also hold content lines. At most ``SAMPLE`` labelled
-documents are used, the smallest by hash of doc_id.
+documents are used, the smallest by hash of doc_id, whatever their length: long
+ones are cut into blocks of lines.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_bytes
 
-#: Labelled documents that the weights are fitted on, at most, and lines of each (a longer document is not used in fitting).
-SAMPLE, SAMPLE_LINES = 1_500, 40
+#: Labelled documents that the weights are fitted on, at most.
+SAMPLE = 1_500
+#: Lines of a block: a longer document enters the fit as several sequences, which only cuts the bond between two lines.
+BLOCK_LINES = 40
+#: Blocks that the weights are fitted on, at most, the smallest by hash.
+BLOCKS = 6_000
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
@@ -104,7 +109,7 @@ def viterbi(scores: list[float], field: Field) -> list[int]:
 
 def fit(sequences: list[list[list[float]]], good: list[bool], rounds: int = 2, steps: int = 80) -> Field:
     """Weights of the field from lines' features by document and the documents' marks."""
-    use = [(x, g) for x, g in zip(sequences, good) if 0 < len(x) <= SAMPLE_LINES]
+    use = [(x[at : at + BLOCK_LINES], g) for x, g in zip(sequences, good) for at in range(0, len(x), BLOCK_LINES)]
     if len({g for _, g in use}) < 2:
         return PRIOR
     n, longest, width = len(use), max(len(x) for x, _ in use), len(FEATURES)
@@ -162,17 +167,19 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> Field:
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = arrow_map(slim.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text"), _features, "doc_id long, quality int, lines array<array<double>>")
-    # Rows may repeat a doc_id without end: SAMPLE of them at most leave the executors.
-    lines = lines.orderBy(F.xxhash64("doc_id"), "doc_id", F.size("lines"), F.xxhash64("lines")).limit(SAMPLE)
-    rows = sorted(((r["doc_id"], r["quality"], r["lines"]) for r in lines.collect()), key=lambda r: (r[0], len(r[2])))
-    return fit([r[2] for r in rows], [r[1] > 0 for r in rows])
+    lines = arrow_map(slim.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text"), _features, "doc_id long, quality int, lines array<array<array<double>>>")
+    # A text or the rows of a doc_id may go on without end: BLOCKS of them at most leave the executors.
+    blocks = lines.select("doc_id", "quality", F.posexplode("lines").alias("n", "lines"))
+    blocks = blocks.orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n", F.xxhash64("lines")).limit(BLOCKS)
+    rows = sorted((r["doc_id"], r["n"], r["quality"], r["lines"]) for r in blocks.collect())
+    return fit([r[3] for r in rows], [r[2] > 0 for r in rows])
 
 
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Lines beyond SAMPLE_LINES mark a document as too long for fitting, and are all left out."""
-    rows = [x if len(x) <= SAMPLE_LINES else [] for x in (lines_of(t)[0] for t in text_bytes(batch.column(2)))]
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, type=pa.list_(pa.list_(pa.float64())))], names=["doc_id", "quality", "lines"])
+    """Lines' features by document, in blocks."""
+    found = (lines_of(t)[0] for t in text_bytes(batch.column(2)))
+    rows = [[x[at : at + BLOCK_LINES] for at in range(0, len(x), BLOCK_LINES)] for x in found]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, type=pa.list_(pa.list_(pa.list_(pa.float64()))))], names=["doc_id", "quality", "lines"])
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
@@ -213,7 +220,11 @@ def label(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns; one narrow pass, no join."""
+    """The rows of ``docs`` whose text is kept, with all their columns; one narrow pass, no join.
+
+    A null text is judged as an empty one and goes, a null doc_id changes nothing.
+    Repeated rows stay or go together; an empty table gives an empty result.
+    """
     schema = docs.schema
     at = docs.columns.index("text")
 

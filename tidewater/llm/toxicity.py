@@ -6,9 +6,10 @@ Entries are whole words or word beginnings; at each word the longest entry
 counts, unless an exception phrase covers it. The sum of weights is divided by
 a power of the length in words and passed through a logistic curve.
 
-Entries, weights, exception phrases, the power and the curve are learnt from
-labelled documents, at most ``SAMPLE`` of them, the smallest by hash of doc_id
-(longer ones than ``LONGEST`` are not used in learning; all are scored whole).
+Entries, weights, exception phrases, the power and the curve are learnt from the
+whole texts of labelled documents, of at most ``SAMPLE`` doc_ids, the smallest by
+hash. Spark counts the documents of each entry and phrase; what reaches the
+driver are the best entries and phrases, and two numbers a document.
 Neither labels nor lang, source or doc_id enter a score.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 
-#: Labelled documents that the lexicon is learnt from, at most, and its entries, at most.
+#: Labelled doc_ids that the lexicon is learnt from, at most, and its entries (and exceptions), at most.
 SAMPLE, ENTRIES = 12_000, 400
-#: Characters of a document that the lexicon is learnt from, at most; with SAMPLE, this bounds what reaches the driver.
-LONGEST = 20_000
+#: Rated entries among which those of the lexicon are chosen, at most.
+RATED = 8 * ENTRIES
+#: Letters of an entry that is a beginning; marked documents that hold an entry, at least; log odds, at least; unmarked documents that hold an exception, at least.
+SHORTEST, LONGEST, LEAST, ODDS, LEAST_PHRASE = 4, 8, 4, 2.0, 8
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝкмтвнгαορτυνικ", "aeopcyxijsdhqwkmtbhraoptuvik"))
 #: Digits and signs written for letters.
@@ -84,53 +87,75 @@ class Lexicon:
                 excused.append((start, end))
             elif size > best.get(start, (0, 0.0))[0]:
                 best[start] = (size, weight)
-        if excused:
-            return sum(w for s, (n, w) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in excused))
-        return sum(w for _, w in best.values())
+        if not excused:
+            return sum(w for _, w in best.values())
+        # How far the phrases that start at a word or before it reach.
+        excused.sort()
+        total, reach, at = 0.0, -1, 0
+        for start in sorted(best):
+            while at < len(excused) and excused[at][0] <= start:
+                reach = max(reach, excused[at][1])
+                at += 1
+            size, weight = best[start]
+            total += weight if start + size - 1 > reach else 0.0
+        return total
 
     def score(self, value: float, words: int) -> float:
         x = self.bias + self.slope * math.log1p(max(0.0, value) / max(1, words) ** self.power)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def learn(texts: list[str], toxic: list[int], shortest: int = 4, longest: int = 8, least: int = 4, odds: float = 2.0) -> Lexicon:
-    """A lexicon from texts and their marks."""
-    folded = [fold(t) for t in texts]
-    marks = np.array(toxic, dtype=bool)
-    if not marks.any() or marks.all():
-        return Lexicon()
-    p, n = int(marks.sum()), int((~marks).sum())
-
-    def rate(held: list[str], floor: float) -> list[tuple[float, int, str, float]]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, mark in zip(held, marks.tolist()):
-            words = set(text.split())
-            counts[mark].update({f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(shortest, min(longest, len(w)) + 1)})
-        rated = []
-        for entry, with_mark in counts[1].items():
-            weight = math.log((with_mark + 0.5) / (p + 1)) - math.log((counts[0][entry] + 0.5) / (n + 1))
-            if with_mark >= least and weight >= floor:
-                rated.append((with_mark * weight * (1 if entry.endswith(" ") else 0.85), len(entry), entry, weight))  # a whole word says more than a beginning
-        return sorted(rated, key=lambda x: (-x[0], x[1], x[2]))
+def entries_of(folded: str) -> set[str]:
+    """Whole words and word beginnings of a folded text, as the lexicon writes them."""
+    words = set(folded.split())
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
 
-    # Phrases of a possible entry and its neighbour that only unmarked texts hold are exceptions; they are left out of the final count.
-    whole = {e.strip() for _, _, e, _ in rate(folded, odds / 2)[: 4 * ENTRIES] if e.endswith(" ")}
-    phrases: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, mark in zip(folded, marks.tolist()):
-        words = text.split()
-        phrases[mark].update({f"{a} {b}" for a, b in zip(words, words[1:]) if a in whole or b in whole})
-    exceptions = tuple(sorted(x for x, c in phrases[0].items() if c >= 8 and not phrases[1][x]))[:ENTRIES]
-    excused = re.compile(" (?:" + "|".join(map(re.escape, exceptions)) + ")(?= )") if exceptions else None
+
+def phrases_of(folded: str, whole: frozenset[str]) -> set[str]:
+    """Two neighbouring words, one of them in ``whole``."""
+    words = folded.split()
+    return {f"{a} {b}" for a, b in zip(words, words[1:]) if a in whole or b in whole}
+
+
+def _excuse(exceptions: tuple[str, ...]) -> Callable[[str], str]:
+    if not exceptions:
+        return lambda text: text
+    pattern = re.compile(" (?:" + "|".join(map(re.escape, exceptions)) + ")(?= )")
+    return lambda text: pattern.sub("", text)
+
+
+def _counted(folded: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
+    """(x, hit, miss): marked and unmarked rows of ``folded(toxic, folded)`` that hold x; counted before the shuffle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [sorted(of(t)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, type=pa.list_(pa.string()))], names=["toxic", "held"])
+
+    rows = arrow_map(folded, run, "toxic int, held array<string>").select("toxic", F.explode("held").alias("x"))
+    return rows.groupBy("x").agg(F.sum("toxic").alias("hit"), F.sum(1 - F.col("toxic")).alias("miss"))
+
+
+def _rated(counts: DataFrame, p: int, n: int, odds: float) -> DataFrame:
+    """(x, weight) of the entries that ``LEAST`` marked documents hold and that speak for the mark, with the score they are ranked by."""
+    weight = F.log((F.col("hit") + 0.5) / (p + 1)) - F.log((F.col("miss") + 0.5) / (n + 1))
+    rated = counts.where(F.col("hit") >= LEAST).withColumn("weight", weight).where(F.col("weight") >= odds)
+    # A whole word says more than a beginning.
+    return rated.withColumn("score", F.col("hit") * F.col("weight") * F.when(F.col("x").endswith(" "), 1.0).otherwise(0.85)).orderBy(F.desc("score"), F.length("x"), "x")
+
+
+def choose(rated: list[tuple[str, float]]) -> dict[str, float]:
+    """The first ``ENTRIES`` of ranked entries, without those that an entry chosen before begins."""
     chosen: dict[str, float] = {}
-    for _, _, entry, weight in rate([excused.sub("", t) for t in folded] if excused else folded, odds):
+    for entry, weight in rated:
         if len(chosen) == ENTRIES:
             break
-        if not any(entry.startswith(k) for k in (entry[:m] for m in range(shortest + 1, len(entry))) if k in chosen):
+        if not any(entry.startswith(k) for k in (entry[:m] for m in range(SHORTEST + 1, len(entry))) if k in chosen):
             chosen[entry] = weight
-    out = Lexicon(chosen, exceptions)
-    automaton = out.automaton()
-    values = np.array([out.total(t, automaton) for t in folded])
-    sizes = np.array([t.count(" ") - 1 for t in folded])
+    return chosen
+
+
+def fit_curve(chosen: dict[str, float], exceptions: tuple[str, ...], values: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> Lexicon:
+    """The power of the length and the logistic curve that fit the documents' sums and lengths best."""
     best: tuple[float, Lexicon] | None = None
     for power in (0.0, 0.25, 0.5, 0.75):
         x = np.log1p(np.maximum(values, 0) / np.maximum(sizes, 1) ** power)
@@ -142,6 +167,37 @@ def learn(texts: list[str], toxic: list[int], shortest: int = 4, longest: int =
     return best[1]
 
 
+def learn(rows: DataFrame) -> Lexicon:
+    """A lexicon from ``rows(key, text, toxic)``; at most ``SAMPLE`` of them, the smallest by hash of key and text, fit the curve."""
+
+    def folding(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fold(t or "") for t in batch.column(2).to_pylist()], type=pa.string())], names=["order", "toxic", "folded"])
+
+    slim = rows.select(F.xxhash64("key", "text").alias("order"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("string"))
+    held = materialize(arrow_map(slim, folding, "order long, toxic int, folded string"), "toxic-folded")
+    p, n = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    if not p or not n:
+        return Lexicon()
+    folded = held.select("toxic", "folded")
+    first = _rated(_counted(folded, entries_of), p, n, ODDS / 2).limit(4 * ENTRIES).collect()
+    # Phrases of a possible entry and its neighbour that only unmarked texts hold are exceptions; they are left out of the final count.
+    whole = frozenset(r["x"].strip() for r in first if r["x"].endswith(" "))
+    met = _counted(folded, lambda t: phrases_of(t, whole)).where((F.col("hit") == 0) & (F.col("miss") >= LEAST_PHRASE))
+    exceptions = tuple(r["x"] for r in met.orderBy(F.desc("miss"), "x").limit(ENTRIES).collect())
+    excuse = _excuse(exceptions)
+    chosen = choose([(r["x"], r["weight"]) for r in _rated(_counted(folded, lambda t: entries_of(excuse(t))), p, n, ODDS).limit(RATED).collect()])
+    plain = Lexicon(chosen, exceptions)
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automaton = _automaton(plain)
+        texts = batch.column(2).to_pylist()
+        sums = pa.array([plain.total(t, automaton) for t in texts], type=pa.float64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sums, pa.array([t.count(" ") - 1 for t in texts], type=pa.int64())], names=["order", "toxic", "value", "size"])
+
+    seen = arrow_map(held, measured, "order long, toxic int, value double, size long").orderBy("order", "toxic", "value", "size").limit(SAMPLE).toArrow()
+    return fit_curve(chosen, exceptions, seen["value"].to_numpy(), seen["size"].to_numpy(), seen["toxic"].to_numpy().astype(bool))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Bias and slope by Newton steps with a small ridge."""
     w = np.zeros(2)
@@ -161,12 +217,8 @@ def learn_labels(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon for ``labels(doc_id, toxic)``, from rows that are not held out; rows with nulls are not used."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = slim.where(F.length("text") <= LONGEST).join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
-    # Rows may repeat a doc_id without end: SAMPLE of them at most leave the executors.
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), F.xxhash64("text")).limit(SAMPLE).toArrow()
-    rows = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "toxic", "text"))), key=lambda r: (r[0], len(r[2])))
-    return learn([r[2] for r in rows], [int(r[1] > 0) for r in rows])
+    slim = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    return learn(slim.join(F.broadcast(marks), F.col("key") == F.col("_id")).select("key", "text", "toxic"))
 
 
 def held_out():
@@ -175,7 +227,7 @@ def held_out():
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted, n_matches.
+    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted, weight (the sum of matched weights).
 
     Null and empty texts get the score of a text without matches. A null doc_id
     is not held out. Repeated rows come out repeated; other columns are not
