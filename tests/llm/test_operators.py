@@ -923,7 +923,7 @@ def slow_rates(folded, marks, odds):
 def test_lexicon_is_learnt_as_by_plain_counts(spark):
     rng = random.Random(27)
     foul = ["scoundrel", "blockhead", "rascal"]
-    texts = [words(rng, 30, 60) + (" " + rng.choice(foul) + ("s " if rng.random() < 0.3 else " ") + words(rng, 9, 60) if k < 90 else " not blockhead " if k % 11 == 0 else "") for k in range(200)]
+    texts = [words(rng, 30, 60) + (" " + rng.choice(foul) + ("s " if rng.random() < 0.1 else " ") + words(rng, 9, 60) if k < 90 else " not blockhead " if k % 13 == 0 else "") for k in range(200)]
     marks = [int(k < 90) for k in range(200)]
     got = toxicity.learn(spark.createDataFrame([(n, t, m) for n, (t, m) in enumerate(zip(texts, marks))], "key long, text string, toxic int"))
     folded = [toxicity.fold(t) for t in texts]
