@@ -17,8 +17,11 @@ from .operators import relational
 from .operators.request import request_features
 from .operators.tiling import tiled_features
 from .operators.window import Feature, window_features
+from .plans.linear import Chain
+from .plans.pipeline import compile_query
+from .plans.spec import PipelineSpec, SourceSpec
 from .plans.sqlrewrite import rewrite
-from .sources import datagen
+from .sources import datagen, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -107,6 +110,17 @@ PLAIN: dict[str, str | tuple[str, str]] = {
     "scalar_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
 }
 
+PLAIN |= {
+    "join_right": "SELECT s.s_suppkey, n.n_name FROM nation n RIGHT JOIN supplier s ON n.n_nationkey = s.s_nationkey AND n.n_nationkey < 10",
+    "join_theta": "SELECT n.n_nationkey AS nation, r.r_regionkey AS region FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey",
+    "join_cross": "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a CROSS JOIN region b",
+    "values_rows": "SELECT t.k, t.v, count(e.event_id) AS n FROM (VALUES (1, 'one'), (2, 'two'), (-1, 'none')) AS t(k, v) LEFT JOIN events e ON e.user_id = t.k GROUP BY t.k, t.v",
+    "unnest_rows": ("SELECT p_partkey, explode(split(p_type, ' ')) AS word FROM part", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part"),
+    "scalar_map_struct": ("SELECT event_id, element_at(map('a', user_id, 'b', user_id + 1), 'b') AS m, CAST(size(map_keys(map('a', 1, event_type, 2))) AS BIGINT) AS k, named_struct('x', user_id, 'y', event_type).y AS s FROM events", "SELECT event_id, user_id + 1 AS m, CAST(2 AS BIGINT) AS k, struct_pack(x := user_id, y := event_type).y AS s FROM events"),
+    "window_tumbling": ("SELECT user_id, CAST(window(ts, '1 day').start AS TIMESTAMP_NTZ) AS started, count(*) AS n FROM events GROUP BY user_id, window(ts, '1 day')", "SELECT user_id, date_trunc('day', ts) AS started, count(*) AS n FROM events GROUP BY user_id, date_trunc('day', ts)"),
+    "window_sliding": ("SELECT event_type, CAST(window(ts, '2 days', '1 day').start AS TIMESTAMP_NTZ) AS started, count(*) AS n FROM events GROUP BY event_type, window(ts, '2 days', '1 day')", "SELECT event_type, date_trunc('day', ts) - d * INTERVAL 1 DAY AS started, count(*) AS n FROM events CROSS JOIN (VALUES (0), (1)) AS t(d) GROUP BY ALL"),
+}
+
 SINCE = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '{}' PRECEDING AND CURRENT ROW"
 LAST_1H, LAST_1D, LAST_7D = (f"({SINCE.format(x)})" for x in ("1' HOUR", "1' DAY", "7' DAY"))
 
@@ -126,6 +140,7 @@ PLAIN |= {
     "win_min_max_1d": _windowed(f"min(v) OVER {LAST_1D} AS lo, max(v) OVER {LAST_1D} AS hi"),
     "win_stddev_7d": _windowed(f"round(stddev_samp(v) OVER {LAST_7D}, 4) AS s, round(stddev_pop(v) OVER {LAST_7D}, 4) AS p"),
     "win_var_7d": _windowed(f"round(var_samp(v) OVER {LAST_7D} / 1000000, 3) AS s, round(var_pop(v) OVER {LAST_7D} / 1000000, 3) AS p"),
+    "win_stddev_variance_1d": _windowed(f"round(stddev(v) OVER {LAST_1D}, 4) AS s, round(variance(v) OVER {LAST_1D} / 1000000, 3) AS x"),
     "win_multi_frame": _windowed(f"count(*) OVER {LAST_1H} AS n_1h, CAST(sum(v) OVER {LAST_7D} AS BIGINT) AS s_7d, avg(v) OVER {LAST_1D} AS m_1d"),
     "win_expr_args": _windowed(f"CAST(sum(v * 10 + 1) OVER {LAST_1D} AS BIGINT) AS s"),
     "win_filter_before": _windowed(f"CAST(sum(v) OVER {LAST_7D} AS BIGINT) AS s", " WHERE event_type = 'purchase'"),
@@ -230,6 +245,63 @@ def tiled_sum_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiled_features(events(spark, sf_dir), ["user_id"], "ts", "v", 7 * DAY, "event_id").select("event_id", "w_sum", "w_count")
 
 
+def tiled_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three keys only, whose windows hold thousands of rows."""
+    dense = events(spark, sf_dir).withColumn("k", F.col("user_id") % 3)
+    return tiled_features(dense, ["k"], "ts", "v", 7 * DAY, "event_id").select("event_id", "w_sum", "w_count", "w_max")
+
+
+TILED_DENSE = f"""WITH e AS (SELECT *, user_id % 3 AS g FROM ({EVENTS}))
+SELECT r.event_id, CAST(sum(x.v) AS BIGINT) AS w_sum, count(*) AS w_count, max(x.v) AS w_max FROM e r JOIN e x
+ON x.g = r.g AND x.ts >= r.ts - INTERVAL 7 DAY AND (x.ts < r.ts OR (x.ts = r.ts AND x.event_id <= r.event_id)) GROUP BY r.event_id"""
+
+
+def _specified(spark: SparkSession, sf_dir: str, sql: str, **more) -> DataFrame:
+    rounded = events(spark, sf_dir).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    spec = PipelineSpec(sql, (SourceSpec("e", "vector", options={"data": rounded}),), sequence="event_id", **more)
+    return compile_query(spark, spec.validate())
+
+
+TIES_SPEC = "SELECT event_id, sum(v) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '2 days' PRECEDING AND CURRENT ROW) AS s, count(*) OVER(PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 WEEK PRECEDING AND CURRENT ROW) AS n FROM e"
+TIES_SPEC_DUCK = f"""WITH e AS (SELECT event_id, user_id, event_type, date_trunc('day', ts) AS ts, v FROM ({EVENTS}))
+SELECT r.event_id, CAST(sum(CASE WHEN x.ts >= r.ts - INTERVAL 2 DAY THEN x.v END) AS BIGINT) AS s, count(CASE WHEN x.event_type = r.event_type THEN 1 END) AS n FROM e r JOIN e x
+ON x.user_id = r.user_id AND x.ts >= r.ts - INTERVAL 7 DAY AND (x.ts < r.ts OR (x.ts = r.ts AND x.event_id <= r.event_id)) GROUP BY r.event_id"""
+TILED_SPEC = "SELECT event_id, sum(v) OVER w AS w_sum, count(*) OVER w AS w_count FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7' DAY PRECEDING AND CURRENT ROW)"
+TILED_SPEC_DUCK = TIES_SPEC_DUCK.replace("CAST(sum(CASE WHEN x.ts >= r.ts - INTERVAL 2 DAY THEN x.v END) AS BIGINT) AS s, count(CASE WHEN x.event_type = r.event_type THEN 1 END) AS n", "CAST(sum(x.v) AS BIGINT) AS w_sum, count(*) AS w_count")
+
+
+def request_keys_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = events(spark, sf_dir)
+    made = [Feature("s", "sum", ("v",), DAY), Feature("n", "count", (), 7 * DAY)]
+    return request_features(every, every.select("user_id", "ts").distinct(), ["user_id"], "ts", made, True).select("user_id", "ts", "s", "n")
+
+
+REQUEST_KEYS = f"""WITH e AS ({EVENTS}), r AS (SELECT DISTINCT user_id, ts FROM e)
+SELECT r.user_id, r.ts, CAST(sum(CASE WHEN e.ts >= r.ts - INTERVAL 1 DAY THEN e.v END) AS BIGINT) AS s, count(*) AS n
+FROM r JOIN e ON e.user_id = r.user_id AND e.ts <= r.ts AND e.ts >= r.ts - INTERVAL 7 DAY GROUP BY r.user_id, r.ts"""
+
+
+def chain_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Chain(events(spark, sf_dir)).filter("v > 1000").project("user_id", "v * 2 AS w").key_by(bucket="user_id % 8").reduce("w", ("max", "count")).run(spark)
+
+
+def json_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows through JSON arrays, one a key, and back."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "v")
+    return files.from_json_array(files.to_json_array(rows, "user_id").select("value"), rows.schema)
+
+
+def group_by_custom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.aggregate(events(spark, sf_dir), ["user_id"], best=("top_n_value_sum_cate_where", "v", COND, "event_type", "2"), share=("top1_ratio", "event_type"), means=("avg_cate", "v", "event_type"))
+
+
+GROUPED_ALL = f"""WITH e AS (SELECT user_id AS rid, event_type AS k, v, (v > 5000) AS c FROM ({EVENTS})),
+b AS (SELECT rid, string_agg(k || ':' || CAST(m AS VARCHAR), ',' ORDER BY rn) AS f FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY m DESC, k DESC) AS rn FROM (SELECT rid, k, CAST(sum(v) AS BIGINT) AS m FROM e WHERE c GROUP BY rid, k)) WHERE rn <= 2 GROUP BY rid),
+s AS (SELECT rid, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS f FROM (SELECT rid, k, count(*) AS n FROM e GROUP BY rid, k) GROUP BY rid),
+a AS (SELECT rid, string_agg(k || ':' || m, ',' ORDER BY k || ':' || m) AS f FROM (SELECT rid, k, {_DUCK["avg"]} AS m FROM e GROUP BY rid, k) GROUP BY rid)
+SELECT s.rid AS user_id, coalesce(b.f, '') AS best, s.f AS share, a.f AS means FROM s JOIN a USING (rid) LEFT JOIN b USING (rid)"""
+
+
 def tiled_min_max_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = (3600 * 10**6, 6 * 3600 * 10**6)
     return tiled_features(events(spark, sf_dir), ["user_id"], "ts", "v", 7 * DAY, "event_id", tiles).select("event_id", "w_min", "w_max", "w_avg")
@@ -330,6 +402,13 @@ _FUNCTIONS: dict[str, tuple[Query, str]] = {
     "request_exclude_current": (lambda s, d: _requests(s, d, True), _requests_sql(True)),
     "tiled_sum_7d": (tiled_sum_7d, f"{PAIRS} SELECT rid AS event_id, CAST(sum(v) AS BIGINT) AS w_sum, count(*) AS w_count FROM p GROUP BY rid"),
     "tiled_min_max_7d": (tiled_min_max_7d, f"{PAIRS} SELECT rid AS event_id, min(v) AS w_min, max(v) AS w_max, avg(v) AS w_avg FROM p GROUP BY rid"),
+    "tiled_dense": (tiled_dense, TILED_DENSE),
+    "spec_exact_ties": (lambda s, d: _specified(s, d, TIES_SPEC), TIES_SPEC_DUCK),
+    "spec_tiles": (lambda s, d: _specified(s, d, TILED_SPEC, tiles_ms=(3_600_000, 86_400_000)), TILED_SPEC_DUCK),
+    "request_keys_and_time": (request_keys_and_time, REQUEST_KEYS),
+    "chain_reduce": (chain_reduce, f'SELECT user_id % 8 AS bucket, CAST(max(v * 2) AS DOUBLE) AS "max", count(*) AS "count" FROM ({EVENTS}) WHERE v > 1000 GROUP BY user_id % 8'),
+    "json_codec": (json_codec, f"SELECT event_id, user_id, event_type, v FROM ({EVENTS})"),
+    "group_by_custom_all": (group_by_custom_all, GROUPED_ALL),
     "reduce_all_aggregations": (reduce_all_aggregations, f'SELECT user_id, CAST(min(v) AS DOUBLE) AS "min", CAST(max(v) AS DOUBLE) AS "max", CAST(sum(v) AS DOUBLE) AS "sum", count(*) AS "count", avg(v) AS average FROM ({EVENTS}) GROUP BY user_id'),
     "reduce_single": (reduce_single, f"SELECT event_type, avg(v) AS average FROM ({EVENTS}) GROUP BY event_type"),
     "upsert_latest": (upsert_latest, f"WITH e AS ({EVENTS}) SELECT event_id, user_id, ts, event_type, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM e) WHERE rn = 1"),
