@@ -177,13 +177,13 @@ def _step(left: DataFrame, gaps: DataFrame, capacity: int, keys: tuple[Column, C
     return placed, gaps, joined.where("seq IS NULL").select(*left.columns)
 
 
-def _widest(gaps: DataFrame) -> int:
-    return gaps.agg(F.max("gap")).first()[0] or 0
-
-
-def _shortest(left: DataFrame) -> int:
-    """The length of the shortest piece; 0 where there are none."""
-    return left.agg(F.min("length")).first()[0] or 0
+def _extent(left: DataFrame, gaps: DataFrame | None = None) -> tuple[int, int]:
+    """The length of the shortest piece and the widest gap, 0 where there are none, in one job."""
+    sizes = left.select("length", F.lit(None).cast("long").alias("gap"))
+    if gaps is not None:
+        sizes = sizes.unionByName(gaps.select(F.lit(None).cast("long").alias("length"), "gap"))
+    least, widest = sizes.agg(F.min("length"), F.max("gap")).first()
+    return least or 0, widest or 0
 
 
 def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
@@ -198,23 +198,23 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     left = every.select("g", F.col("g").alias("id"), "length")
     found, first, short = [], 0, int(capacity * SHORT)
     need = left.where(F.col("length") > capacity // 2).count()
-    while _shortest(left):
+    while _extent(left)[0]:
         again = bool(found)
         placed, gaps, left = _open(left, capacity, first, need if need and not again else None)
         first = placed.agg(F.max("sequence_id")).first()[0] + 1
         found.append(placed)
         tall, low = left.where(F.col("length") > short), left.where(F.col("length") <= short)
-        while (least := _shortest(tall)) and least <= _widest(gaps):
+        while (extent := _extent(tall, gaps))[0] and extent[0] <= extent[1]:
             placed, gaps, tall = _step(tall, gaps, capacity, (F.col("length"), F.col("id")), True)
             found.append(placed)
         # Short pieces fill what is left in the end.
-        if (again or not least) and _shortest(low):
+        if again or not extent[0]:
             sizes = numbered(low, [F.desc("length"), F.col("id")], "pack-sorted")
             starts = sizes.groupBy("length").agg(F.min("g").alias("_s"))  # a row a length
             low = sizes.join(F.broadcast(starts), "length").select("id", "length", (F.col("g") - F.col("_s")).alias("r"))
             total = capacity
-            while total and (least := _shortest(low)) and least <= (widest := _widest(gaps)):
-                total = min(total, 1 << (widest.bit_length() - 1))
+            while (extent := _extent(low, gaps))[0] and extent[0] <= extent[1]:
+                total = min(total, 1 << (extent[1].bit_length() - 1))
                 bundle = F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(total / F.col("length"))))
                 placed, gaps, low = _step(low, gaps, capacity, (F.col("length"), bundle), False)
                 found.append(placed)
