@@ -559,6 +559,26 @@ def test_simhash_index_finds_all_pairs_in_blocks(spark, monkeypatch):
     assert len(simhash.planes()) == 14
 
 
+def test_simhash_long_lists_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    spread = {(centre & 0xFFFFFFFF) | rng.getrandbits(32) << 32 for _ in range(400)}  # one plane in common
+    near = {v ^ sum(1 << b for b in rng.sample(range(64), 3)) for v in sorted(spread)[:150]}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in spread | near | {rng.getrandbits(64) for _ in range(100)})
+    table = spark.createDataFrame([(v,) for v in values], "fp long")
+    exact = [(a, b) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 3]
+    expected = union(exact, values)
+    for longest in (10, 100, 10**6):
+        monkeypatch.setattr(simhash, "SPLIT", longest)
+        assert union([(r["a"], r["b"]) for r in simhash.link(table).collect()], values) == expected
+    # The places and values of the four bytes outside a plane, by plain arithmetic.
+    monkeypatch.setattr(simhash, "SPLIT", 1)
+    plane = simhash.planes()[0]
+    postings = spark.createDataFrame([(v, 0, 7) for v in values] + [(5, 1, 8)], "fp long, plane int, key long")
+    got = {(r["fp"], r["plane"], r["fifth"]) for r in simhash._split(postings).collect()}
+    assert got == {(v, 0, 256 * p + (v >> (8 * p) & 255)) for v in values for p in range(8) if p not in plane} | {(5, 1, -1)}
+
+
 # --- 8
 
 

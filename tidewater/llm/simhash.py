@@ -11,8 +11,9 @@ no pair is lost, and a posting key has 32 bits instead of 8. Within a posting
 list the shared positional bytes of each pair are tallied, pairs with five or
 more are retained, and their bits are compared.
 
-Lists are dealt to bounded pairs of blocks, and a pair of blocks returns at
-most one spanning edge a fingerprint, so neither copies nor near copies are
+Lists longer than ``SPLIT`` are posted anew by a fifth byte: of the four bytes
+that a plane leaves, three differing bits leave one equal. Lists are dealt to
+bounded pairs of blocks, and a pair of blocks returns at most one spanning edge a fingerprint, so neither copies nor near copies are
 expanded to pairs. Equal fingerprints are collapsed before the index is made.
 """
 
@@ -27,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, block_pairs, components, materialize, screen, sorted_groups, spanning_labels, text_bytes
+from .common import BLOCK, arrow_map, block_pairs, components, materialize, screen, sorted_groups, spanning_labels, text_bytes
 
 BYTES, MAX_BITS = 8, 3
 MIN_SHARED = BYTES - MAX_BITS
+#: Postings of a list, at most, unless its members share a fifth byte too.
+SPLIT = 4 * BLOCK
 #: Groups up to this size are compared by shifts of the whole sorted batch.
 SMALL = 12
 
@@ -81,7 +84,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, starts in sorted_groups(batches, ["plane", "key", "_i", "_j"]):
+    for rows, starts in sorted_groups(batches, ["plane", "key", "fifth", "_i", "_j"]):
         fp, own, i = rows["fp"].to_numpy(), rows["_b"].to_numpy(), rows["_i"].to_numpy()
         ends = np.append(starts[1:], len(fp))
         sizes = ends - starts
@@ -116,14 +119,24 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _split(postings: DataFrame) -> DataFrame:
+    """``postings(fp, plane, key)`` with ``fifth``: -1, or in lists longer than ``SPLIT`` one row for each byte outside the plane, its place and value."""
+    left = ", ".join(str(p) for plane in planes() for p in range(BYTES) if p not in plane)
+    places = F.expr(f"slice(array({left}), plane * 4 + 1, 4)")
+    fifth = F.transform(places, lambda p: p * 256 + F.call_function("shiftright", F.col("fp"), p * 8).bitwiseAND(F.lit(255)).cast("int"))
+    long = postings.groupBy("plane", "key").agg(F.count(F.lit(1)).alias("_long")).where(F.col("_long") > SPLIT)
+    held = postings.join(long.hint("shuffle_hash"), ["plane", "key"], "left")
+    return held.select("fp", "plane", "key", F.explode(F.when(F.col("_long").isNull(), F.array(F.lit(-1))).otherwise(fifth)).alias("fifth"))
+
+
 def link(distinct: DataFrame) -> DataFrame:
     """Spanning edges (a, b) between the different fingerprints ``distinct(fp)`` at three bits or fewer."""
     masks = [sum(0xFF << (8 * p) for p in plane) for plane in planes()]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.struct(F.lit(n).alias("plane"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)))
     postings = distinct.select("fp", F.explode(keys).alias("_k")).select("fp", "_k.plane", "_k.key")
-    dealt = block_pairs(postings, ["plane", "key"], F.col("fp"))
-    by = ["plane", "key", "_i", "_j"]
+    dealt = block_pairs(_split(postings), ["plane", "key", "fifth"], F.col("fp"))
+    by = ["plane", "key", "fifth", "_i", "_j"]
     return dealt.repartition(*by).sortWithinPartitions(*by).select(*by, "_b", "fp").mapInArrow(_edges, "a long, b long")
 
 
