@@ -529,6 +529,51 @@ def test_requests_of_keys_and_time_only(spark):
     assert got[350.0]["c"] == "A:9" and got[0.005]["s"] is None and got[0.005]["c"] == ""
 
 
+def test_requests_shuffle_rows_and_not_pairs(spark):
+    events = timed(spark, A3)
+    made = [Feature("s", "sum", ("value",), 60_000 * MS), Feature("c", "sum_cate", ("value", "partition_key"), 420_000 * MS)]
+    for exclude in (False, True):
+        plan = request_features(events, events, ["partition_key"], "timestamp", made, exclude)._jdf.queryExecution().executedPlan().toString()
+        # Nothing is dealt anew above the frames.
+        assert "Window" in plan and plan.rindex("Window") < plan.index("Exchange")
+
+
+def test_many_requests_of_one_key_are_dealt_to_parts(spark):
+    events = timed(spark, [(0, 1), (1000, 2), (1000, 4), (9000, 8)])
+    asked = timed(spark, [(t, t % 7) for t in range(0, 12_000, 100)] * 2)
+    made = [Feature("s", "sum", ("value",), 5000 * MS), Feature("n", "count", (), 1000 * MS), Feature("t", "top", ("value", "2"), 5000 * MS)]
+    for exclude in (False, True):
+        got = request_features(events, asked, ["partition_key"], "timestamp", made, exclude, part=4)
+        deals = [p for p in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in p and "__part" in p]
+        assert deals and got.count() == 240
+        for r in got.collect():
+            own = [] if exclude else [r["value"]]
+            far, near = ([v for t, v in [(0, 1), (1000, 2), (1000, 4), (9000, 8)] if r["ms"] - d <= t <= r["ms"]] + own for d in (5000, 1000))
+            assert (r["s"], r["n"], r["t"]) == (sum(far) if far else None, len(near), ",".join(f"{v:g}" for v in sorted(far, reverse=True)[:2]))
+
+
+def test_own_rows_count_like_any_other(spark):
+    """Every aggregate of history and own row, against GROUP BY; nulls, long decimals, requests without key or time."""
+    import datetime
+    from decimal import Decimal
+
+    rng = random.Random(11)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(n, rng.choice("aab") if n % 11 else None, day + datetime.timedelta(seconds=rng.randrange(60)) if n % 13 else None, rng.choice([None, 1, 5, -3]), rng.choice([None, 0.25, 3.5]), Decimal(rng.randrange(10**28)).scaleb(-18), Decimal(rng.randrange(10**6)).scaleb(-2) if n % 3 else None) for n in range(60)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, i int, d double, h decimal(38,18), e decimal(12,2)")
+    functions = ("sum", "avg", "count", "min", "max", "stddev", "stddev_pop", "var_pop", "variance")
+    made = [Feature(f"{f}_{c}", f, (c,), 20 * 10**6) for f in functions for c in "idhe"] + [Feature("w", "avg_where", ("i", "d > 1"), 20 * 10**6)]
+    got = {r["id"]: r for r in request_features(df, df, ["k"], "ts", made).collect()}
+    pairs = df.alias("r").join(df.alias("x"), F.expr("x.k = r.k AND x.ts BETWEEN r.ts - INTERVAL 20 SECONDS AND r.ts")).select("r.id", "x.i", "x.d", "x.h", "x.e").union(df.where("ts IS NOT NULL").select("id", "i", "d", "h", "e"))
+    exact = pairs.groupBy("id").agg(*(F.expr(f"{f}({c})").alias(f"{f}_{c}") for f in functions for c in "idhe"), F.expr("avg(CASE WHEN d > 1 THEN i END)").alias("w"))
+    expected = {r["id"]: r for r in exact.collect()}
+    assert request_features(df, df, ["k"], "ts", made).select(exact.columns).dtypes == exact.dtypes and set(got) == set(range(60))
+    for n, r in got.items():
+        for c in exact.columns[1:]:
+            want = expected[n][c] if n in expected else 0 if c.startswith("count") else None
+            assert r[c] == (pytest.approx(want, rel=1e-9, abs=1e-9) if isinstance(want, float) else want), (n, c)
+
+
 def test_text_is_rounded_half_to_even_from_the_exact_value(spark):
     rng = random.Random(3)
     xs = [0.0078125, 0.0234375, 1 / 128 + 1e6, 0.1234565, 0.1234575, 2.5e-7, 5e-7, 1.5e-6, 1e-9, 0.0, -0.0078125, 123456789.0, 8.9e9 + 0.5, 1e15, 0.9999995, 0.9999999, float("nan"), float("inf"), -float("inf")]

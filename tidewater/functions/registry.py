@@ -14,6 +14,8 @@ Rules shared by all:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _collect(x: str, over: str) -> str:
+def _collect(x: str, over: str | Callable[[str], str]) -> str:
+    if callable(over):
+        return over(x)
     return f"collect_list({x}){' OVER ' + over if over else ''}"
 
 
@@ -127,8 +131,11 @@ def _arity() -> dict[str, int]:
 NAMES: dict[str, int] = _arity()
 
 
-def expression(name: str, args: list[str], over: str = "") -> str:
-    """SQL text for ``name(args)``, over the window ``over`` ("(PARTITION BY ...)" or a window's name) if given."""
+def expression(name: str, args: list[str], over: str | Callable[[str], str] = "") -> str:
+    """SQL text for ``name(args)``, over the window ``over`` ("(PARTITION BY ...)" or a window's name) if given.
+
+    Of a collecting aggregate, ``over`` may instead give the array of the collected expression that it is called with.
+    """
     if name not in NAMES:
         raise ValueError(f"unknown aggregate {name!r}")
     if len(args) != NAMES[name]:
