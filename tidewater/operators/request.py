@@ -151,6 +151,57 @@ def _where(f: Feature) -> bool:
     return f.function.endswith("_where") and "cate" not in f.function
 
 
+def request_features_joined(
+    events: DataFrame, requests: DataFrame, keys: list[str], time: str, features: list[Feature], exclude_current_row: bool = False, bucket_us: int | None = None
+) -> DataFrame:
+    """The same answers by a join, for few requests against long histories: the work grows with the pairs, events without requests cost none.
+
+    Both sides are dealt to (key, time bucket), so a hot key is cut by time, and
+    the pairs are collected by request.
+    """
+    reach = max(f.length_us for f in features)
+    width = bucket_us or max(1, reach)
+    # Without their own row, requests may hold keys and time only.
+    names = list(dict.fromkeys([*keys, time, *(c for c in events.columns if exclude_current_row or c in requests.columns)]))
+    row = [F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in requests.dtypes]
+    asked = requests.withColumn("__rid", F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("second"), *row).alias("b")))  # equal requests have equal answers
+    asked = asked.withColumn("__at", micros(F.col(time), dict(requests.dtypes)[time]))
+    keyed = asked.select("__rid", "__at", *(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    low, high = F.floor((F.col("__at") - reach) / width), F.floor(F.col("__at") / width)
+    keyed = keyed.withColumn("__bucket", F.explode(F.sequence(low, high)))
+    history = events.where(F.col(time).isNotNull()).withColumn("__ts", micros(F.col(time), dict(events.dtypes)[time])).withColumn("__eb", F.floor(F.col("__ts") / width))
+    same = F.col("__bucket") == F.col("__eb")
+    for k in keys:
+        same = same & (F.col(f"__{k}") == F.col(k))
+    near = (F.col("__ts") <= F.col("__at")) & (F.col("__ts") >= F.col("__at") - reach)
+    read = [c for c in names if c not in (time,)]
+    found = history.join(keyed, same & near).select("__rid", "__at", "__ts", *read)
+    if not exclude_current_row:
+        found = found.unionByName(asked.select("__rid", "__at", F.col("__at").alias("__ts"), *read).distinct())
+    columns = []
+    for f in features:
+        inside = f"__ts >= __at - {f.length_us}L"
+        columns.append(F.expr(_masked(f, inside)).alias(f.name))
+    answers = found.groupBy("__rid", "__at").agg(*columns).drop("__at")
+    empty = {f.name: F.coalesce(f.name, _empty(f)) for f in features if _empty(f) is not None}
+    out = asked.join(answers, "__rid", "left").drop("__rid", "__at")
+    return out.withColumns(empty) if empty else out
+
+
+def _masked(f: Feature, inside: str) -> str:
+    """The feature as a grouped aggregate of rows for which ``inside`` holds."""
+    args = list(f.args)
+    if f.function in NAMES:
+        # The measured value or the category is null outside, which leaves the row out.
+        value = 2 if f.function.endswith("cate_where") or f.function.endswith("ratio_cate") else 1 if f.function.endswith("_cate") else 0
+        args[value] = f"CASE WHEN {inside} THEN {args[value]} END"
+        return expression(f.function, args)
+    if f.function not in WINDOW_AGGREGATES:
+        raise ValueError(f"unsupported window aggregate {f.function!r}")
+    inner = args[0] if args and args[0] != "*" else "1"
+    return f"{f.function}(CASE WHEN {inside} THEN {inner} END)"
+
+
 def _empty(f: Feature):
     """What the feature is over no rows, where that isn't null."""
     if f.function in ("count", "count_where"):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.request import request_features
+from ..operators.request import request_features_joined
 from ..operators.tiling import tiled_features
 from ..operators.window import Feature, with_cursor
 from ..schema import struct_from_json
@@ -180,4 +180,4 @@ def run(spark: SparkSession, spec: PipelineSpec) -> DataFrame | StreamingQuery |
 
 def request_function(events: DataFrame, keys: list[str], time: str, features: list[Feature], exclude_current_row: bool = False) -> Callable[[DataFrame], DataFrame]:
     """What a request server needs: requests in, the same rows with the features of their time out."""
-    return lambda requests: request_features(events, requests, keys, time, features, exclude_current_row)
+    return lambda requests: request_features_joined(events, requests, keys, time, features, exclude_current_row)
