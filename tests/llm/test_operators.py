@@ -629,6 +629,18 @@ def test_sweeps_against_best_fit_decreasing(spark, kind):
     assert placed_whole(got, 512) <= 1.01 * best_fit_decreasing(lengths, 512) + 1
 
 
+def test_supersteps_run_few_jobs(spark):
+    """Each job of a shuffle or broadcast keeps threads, plans and buffers on the driver."""
+    rng = random.Random(41)
+    lengths = [min(512, int(rng.expovariate(1 / 150)) + 1) for _ in range(300)]
+    frame = spark.createDataFrame([(n, 0, 0, x) for n, x in enumerate(lengths)], "doc_id long, piece int, ids_crc32 long, length long")
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    got = packing.place(frame, 512).collect()
+    assert placed_whole(got, 512) and len(got) == 300
+    assert scheduler.numTotalJobs() - before <= 170
+
+
 def test_a_sweep_matches_like_best_fit(spark):
     """Longest first, each to the smallest gap that holds it and is free."""
     rng = random.Random(23)

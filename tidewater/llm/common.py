@@ -19,10 +19,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that are worked on at a time.
@@ -51,6 +52,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, tag: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows written, taken by the job that writes them: no job and no shuffle of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(c.alias(name) for name, c in measures.items())), tag)
+    return out, seen.get
+
+
+def local_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few rows of longs that the driver holds; a broadcast of them runs no job. ``schema``: names."""
+    names = schema.split()
+    return spark.createDataFrame(pa.table([pa.array([r[n] for r in rows], type=pa.int64()) for n in range(len(names))], names=names))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,9 +110,9 @@ def numbered(rows: DataFrame, order: list[Column], tag: str, spread: list[Column
     placed = rows.repartitionByRange(*(spread or order)).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     placed = materialize(placed, tag)
     part = F.shiftright("_m", 33).alias("_part")
-    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))  # a row a part
+    counts = sorted(placed.groupBy(part).agg(F.count(F.lit(1))).collect())  # a row a part
+    before = accumulate((n for _, n in counts), initial=0)
+    starts = local_table(rows.sparkSession, "_part _before", [(k, n) for (k, _), n in zip(counts, before)])
     out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return out.withColumn("g", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_before")
 
@@ -110,21 +124,18 @@ def components(edges: DataFrame, tag: str, limit: int = 60) -> DataFrame:
     the logarithm of the longest chain, and a hub's edges are pre-aggregated.
     """
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    seen = state(now)
+    state = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("a", "b"))}
+    now, seen = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag, **state)
     for _ in range(limit):
-        if not seen[0]:
+        if not seen["n"]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(roots.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, tag)
-        if (new := state(now)) == seen:
+        now, new = measured(small, tag, **state)
+        if new == seen:
             break
         seen = new
     else:

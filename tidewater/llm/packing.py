@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, numbered
+from .common import arrow_map, local_table, materialize, measured, numbered
 
 #: Pieces up to this share of the capacity are dealt in bundles.
 SHORT = 1 / 16
@@ -122,68 +122,101 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
-def _open(left: DataFrame, capacity: int, first: int, need: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed(id, sequence_id, offset), gaps(seq, gap), left(id, length)) after opening ``need`` sequences, or as many as ``left(g, id, length)`` needs at least.
+def _open(left: DataFrame, counts: dict[int, int], capacity: int, first: int, need: int | None = None) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """(placed(id, sequence_id, offset), gaps(seq, gap), the widest gap, sequences opened, pieces placed) after opening ``need`` sequences, or as many as ``left(g, id, length)`` needs at least.
 
-    ``g`` numbers ``left`` from the longest piece on. Sequences are numbered from ``first``.
+    ``g`` numbers ``left`` from the longest piece on, so the pieces placed are the first ones; ``counts`` has
+    the number of pieces of each length. Sequences are numbered from ``first``.
     """
-    need = -(-left.agg(F.sum("length")).first()[0] // capacity) if need is None else need
-    fill = F.floor(capacity / F.col("length")).cast("int")
-    bands = left.groupBy(fill.alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("start"))
-    groups = F.ceil(F.col("n") / F.col("q"))
-    bands = bands.withColumn("before", F.coalesce(F.sum(groups).over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    dealt = left.withColumn("q", fill).join(F.broadcast(bands), "q").withColumn("seq", F.col("before") + F.floor((F.col("g") - F.col("start")) / F.col("q")))
-    opened = F.col("seq") < need
+    need = -(-sum(x * n for x, n in counts.items()) // capacity) if need is None else need
+    held: dict[int, list[int]] = {}  # by pieces that fit in a sequence, fewest first: where they start, how many there are
+    at = before = end = 0
+    for x in sorted(counts, reverse=True):
+        held.setdefault(capacity // x, [at, 0])[1] += counts[x]
+        at += counts[x]
+    bands = []
+    for q, (start, n) in held.items():
+        bands.append((q, start, before))
+        if before < need:
+            end = start + min(n, (need - before) * q)
+        before += -(-n // q)
+    dealt = left.where(F.col("g") < end).withColumn("q", F.floor(capacity / F.col("length")))
+    dealt = dealt.join(F.broadcast(local_table(left.sparkSession, "q start before", bands)), "q")
     own = Window.partitionBy("seq").orderBy("g")
-    inside = dealt.where(opened).select("id", (F.col("seq") + first).alias("seq"), "length", "g")
-    placed = inside.withColumn("offset", F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = materialize(placed.select("id", F.col("seq").alias("sequence_id"), "offset", "length"), "pack-opened")
-    gaps = placed.groupBy(F.col("sequence_id").alias("seq")).agg((capacity - F.sum("length")).alias("gap")).where("gap > 0")
-    return placed.drop("length"), materialize(gaps, "pack-gaps"), materialize(dealt.where(~opened).select("id", "length"), "pack-left")
+    inside = dealt.withColumn("seq", F.col("before") + F.floor((F.col("g") - F.col("start")) / F.col("q")) + first)
+    offset = F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gap = capacity - F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inside = inside.select("id", F.col("seq").alias("sequence_id"), offset.alias("offset"), gap.alias("gap"))
+    placed, seen = measured(inside, "pack-opened", widest=F.max("gap"))
+    gaps = placed.where("offset = 0 AND gap > 0").select(F.col("sequence_id").alias("seq"), "gap")
+    return placed.drop("gap"), gaps, seen["widest"] or 0, min(need, before), end
+
+
+def _levels(placed: DataFrame) -> DataFrame:
+    """A row for each class of equal size and kind and each part of ``placed``: part, size, kind, c, base.
+
+    c numbers the classes in order; base is the depth of a row less, or for pieces plus, its place in the part.
+    """
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    found = placed.groupBy("_part", "size", "kind").agg(F.count(F.lit(1)), F.min(place)).collect()
+    out, c, before = [], 0, None
+    high = low = was = rank = 0
+    for part, size, kind, n, start in sorted(found, key=lambda r: (-r[1], r[2], r[0])):
+        if before != (size, kind):
+            # Open gaps: what the lowest point so far falls short of zero never opened.
+            c, before, was, rank = c + 1, (size, kind), high - low, 0
+        out.append((part, size, kind, c, was - rank + start if kind else was + 1 + rank - start))
+        rank += n
+        high += -n if kind else n
+        low = min(low, high)
+    return local_table(placed.sparkSession, "_part size kind c base", out)
+
+
+def _matched(gaps: DataFrame, items: DataFrame) -> DataFrame:
+    """kind, size, a, b of ``gaps(seq, gap)`` (kind 0, a: seq) and ``items(size, a, b)`` (kind 1), with ``next``, what a gap takes, and ``prev``, what takes an item, or nulls."""
+    both = gaps.select(F.col("gap").alias("size"), F.lit(0).cast("long").alias("kind"), F.col("seq").alias("a"), F.lit(0).cast("long").alias("b"))
+    both = both.unionByName(items.select("size", F.lit(1).cast("long").alias("kind"), "a", "b"))
+    order = [F.desc("size"), F.col("kind"), F.xxhash64("a", "b"), F.col("a"), F.col("b")]
+    placed = both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = materialize(placed, "pack-sweep").withColumn("_part", F.shiftright("_m", 33))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    depth = F.col("base") + F.when(F.col("kind") == 0, place).otherwise(-place)
+    # Depths of pieces for which no gap is open are 0 and less, where no gap is.
+    levelled = placed.join(F.broadcast(_levels(placed)), ["_part", "size", "kind"]).withColumn("depth", depth)
+    own, other = Window.partitionBy("depth").orderBy("c"), F.struct("kind", "size", "a", "b")
+    levelled = levelled.withColumn("next", F.lead(other).over(own)).withColumn("prev", F.lag(other).over(own))
+    taken, held = F.when(F.col("next.kind") == 1, F.col("next")), F.when(F.col("prev.kind") == 0, F.col("prev"))
+    return levelled.select("kind", "size", "a", "b", F.when(F.col("kind") == 0, taken).alias("next"), F.when(F.col("kind") == 1, held).alias("prev"))
 
 
 def _sweep(gaps: DataFrame, items: DataFrame) -> DataFrame:
     """``gaps(seq, gap)`` with what each takes of ``items(size, a, b)``: size, a, b, or nulls."""
-    both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), F.lit(0).cast("long").alias("b"))
-    both = both.unionByName(items.select("size", F.lit(1).alias("kind"), "a", "b"))
-    order = [F.desc("size"), F.col("kind"), F.xxhash64("a", "b"), F.col("a"), F.col("b")]
-    placed = numbered(both, order, "pack-sweep")
-    classes = placed.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("start"))
-    down = Window.orderBy(F.desc("size"), "kind")
-    running = down.rowsBetween(Window.unboundedPreceding, 0)
-    classes = classes.withColumn("c", F.row_number().over(down)).withColumn("h", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(running))
-    # Open gaps after a class: what the lowest point so far falls short of zero never opened.
-    classes = classes.withColumn("open", F.col("h") - F.least(F.lit(0), F.min("h").over(running)))
-    classes = classes.withColumn("was", F.coalesce(F.lag("open").over(down), F.lit(0))).select("size", "kind", "start", "c", "was")
-    ranked = placed.join(F.broadcast(classes), ["size", "kind"]).withColumn("r", F.col("g") - F.col("start"))
-    depth = F.when(F.col("kind") == 0, F.col("was") + F.col("r") + 1).otherwise(F.col("was") - F.col("r"))
-    levelled = ranked.withColumn("depth", depth).where("depth > 0").select("depth", "c", "kind", "size", "a", "b")
-    pair = F.lead(F.struct("kind", "size", "a", "b")).over(Window.partitionBy("depth").orderBy("c"))
-    found = levelled.withColumn("next", pair).where("kind = 0").withColumn("next", F.when(F.col("next.kind") == 1, F.col("next")))
-    return materialize(found.select(F.col("a").alias("seq"), F.col("size").alias("gap"), "next.size", "next.a", "next.b"), "pack-pairs")
-
-
-def _step(left: DataFrame, gaps: DataFrame, capacity: int, keys: tuple[Column, Column], single: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed, gaps, left) after one superstep over ``left``, whose ``keys`` are those of its items."""
-    keyed = left.withColumn("a", keys[0].cast("long")).withColumn("b", keys[1].cast("long"))
-    items = keyed.select(F.col("length").alias("size"), "a", "b") if single else keyed.groupBy("a", "b").agg(F.sum("length").alias("size"))
-    pairs = _sweep(gaps, items)
+    return _matched(gaps, items).where("kind = 0").select(F.col("a").alias("seq"), F.col("size").alias("gap"), "next.size", "next.a", "next.b")
+
+
+def _singles(left: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(placed, gaps, left, the shortest piece left, the widest gap; 0 where there are none) after one superstep over the pieces of ``left(id, length)``."""
+    found = _matched(gaps, left.select(F.col("length").alias("size"), F.col("length").alias("a"), F.col("id").alias("b")))
+    gap = F.when(F.col("kind") == 0, F.col("size") - F.coalesce("next.size", F.lit(0)))
+    found = found.select("kind", F.col("b").alias("id"), F.col("size").alias("length"), F.coalesce("prev.a", "a").alias("seq"), gap.alias("gap"), (capacity - F.col("prev.size")).alias("offset"))
+    stays = F.col("offset").isNull() & (F.col("kind") == 1)
+    done, seen = measured(found, "pack-step", shortest=F.min(F.when(stays, F.col("length"))), widest=F.max("gap"))
+    placed = done.where("offset IS NOT NULL").select("id", F.col("seq").alias("sequence_id"), "offset")
+    return placed, done.where("gap > 0").select("seq", "gap"), done.where(stays).select("id", "length"), seen["shortest"] or 0, seen["widest"] or 0
+
+
+def _bundles(left: DataFrame, gaps: DataFrame, capacity: int, bundle: Column) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """As ``_singles``, over the bundles of one length of ``left(id, length, r)``."""
+    keyed = left.withColumn("a", F.col("length")).withColumn("b", bundle.cast("long"))
+    pairs, seen = measured(_sweep(gaps, keyed.groupBy("a", "b").agg(F.sum("length").alias("size"))), "pack-pairs", widest=F.max(F.col("gap") - F.coalesce("size", F.lit(0))))
     taken = pairs.where("size IS NOT NULL").select("a", "b", "seq", (capacity - F.col("gap")).alias("at"))
     joined = keyed.join(taken.hint("shuffle_hash"), ["a", "b"], "left")
-    place = F.lit(0) if single else F.row_number().over(Window.partitionBy("a", "b").orderBy("id")) - 1
-    joined = materialize(joined.withColumn("offset", F.col("at") + place * F.col("length")), "pack-step")
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("id")) - 1
+    joined = joined.withColumn("offset", F.col("at") + place * F.col("length"))
+    joined, least = measured(joined, "pack-step", shortest=F.min(F.when(F.col("seq").isNull(), F.col("length"))))
     placed = joined.where("seq IS NOT NULL").select("id", F.col("seq").alias("sequence_id"), "offset")
     gaps = pairs.select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")).where("gap > 0")
-    return placed, gaps, joined.where("seq IS NULL").select(*left.columns)
-
-
-def _extent(left: DataFrame, gaps: DataFrame | None = None) -> tuple[int, int]:
-    """The length of the shortest piece and the widest gap, 0 where there are none, in one job."""
-    sizes = left.select("length", F.lit(None).cast("long").alias("gap"))
-    if gaps is not None:
-        sizes = sizes.unionByName(gaps.select(F.lit(None).cast("long").alias("length"), "gap"))
-    least, widest = sizes.agg(F.min("length"), F.max("gap")).first()
-    return least or 0, widest or 0
+    return placed, gaps, joined.where("seq IS NULL").select(*left.columns), least["shortest"] or 0, seen["widest"] or 0
 
 
 def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
@@ -197,30 +230,37 @@ def place(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     every = numbered(cut_pieces, order, "pack-sorted")
     left = every.select("g", F.col("g").alias("id"), "length")
     found, first, short = [], 0, int(capacity * SHORT)
-    need = left.where(F.col("length") > capacity // 2).count()
-    while _extent(left)[0]:
+    while counts := dict(left.groupBy("length").agg(F.count(F.lit(1))).collect()):  # a row a length
         again = bool(found)
-        placed, gaps, left = _open(left, capacity, first, need if need and not again else None)
-        first = placed.agg(F.max("sequence_id")).first()[0] + 1
+        half = sum(n for x, n in counts.items() if x > capacity // 2)
+        placed, gaps, widest, opened, end = _open(left, counts, capacity, first, half if half and not again else None)
+        first += opened
         found.append(placed)
-        tall, low = left.where(F.col("length") > short), left.where(F.col("length") <= short)
-        while (extent := _extent(tall, gaps))[0] and extent[0] <= extent[1]:
-            placed, gaps, tall = _step(tall, gaps, capacity, (F.col("length"), F.col("id")), True)
+        left, starts, at = left.where(F.col("g") >= end), [], 0
+        for x in sorted(counts, reverse=True):
+            if at + counts[x] > end:
+                starts.append((x, max(at, end)))
+            at += counts[x]
+        tall, low = left.where(F.col("length") > short).select("id", "length"), left.where(F.col("length") <= short)
+        shortest = min((x for x, _ in starts if x > short), default=0)
+        least = min((x for x, _ in starts if x <= short), default=0)
+        while shortest and shortest <= widest:
+            placed, gaps, tall, shortest, widest = _singles(tall, gaps, capacity)
             found.append(placed)
         # Short pieces fill what is left in the end.
-        if again or not extent[0]:
-            sizes = numbered(low, [F.desc("length"), F.col("id")], "pack-sorted")
-            starts = sizes.groupBy("length").agg(F.min("g").alias("_s"))  # a row a length
-            low = sizes.join(F.broadcast(starts), "length").select("id", "length", (F.col("g") - F.col("_s")).alias("r"))
+        if again or not shortest:
+            low = low.join(F.broadcast(local_table(left.sparkSession, "length _s", starts)), "length").select("id", "length", (F.col("g") - F.col("_s")).alias("r"))
             total = capacity
-            while (extent := _extent(low, gaps))[0] and extent[0] <= extent[1]:
-                total = min(total, 1 << (extent[1].bit_length() - 1))
+            while least and least <= widest:
+                total = min(total, 1 << (widest.bit_length() - 1))
                 bundle = F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(total / F.col("length"))))
-                placed, gaps, low = _step(low, gaps, capacity, (F.col("length"), bundle), False)
+                placed, gaps, low, least, widest = _bundles(low, gaps, capacity, bundle)
                 found.append(placed)
                 total = total // 2 or 1  # single pieces until none fits
-        left = numbered(tall.select("id", "length").unionByName(low.select("id", "length")), [F.desc("length"), F.col("id")], "pack-sorted")
-    where = cut_pieces.sparkSession.createDataFrame([], "id long, sequence_id long, offset long")
+        if not (shortest or least):
+            break
+        left = numbered(tall.unionByName(low.select("id", "length")), [F.desc("length"), F.col("id")], "pack-sorted")
+    where = local_table(cut_pieces.sparkSession, "id sequence_id offset", [])
     for placed in found:
         where = where.unionByName(placed.select("id", F.col("sequence_id").cast("long"), F.col("offset").cast("long")))
     return every.join(where.withColumnRenamed("id", "g"), "g").drop("g")
