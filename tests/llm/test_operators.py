@@ -436,6 +436,45 @@ def test_screen_lets_all_members_through(spark):
     assert surely_none.count() == 20_000 - len(through)
 
 
+def plan_of(df, phase):
+    return getattr(df._jdf.queryExecution(), phase)().toString()
+
+
+def test_line_dedup_sorts_and_shuffles_no_more_than_it_needs(spark):
+    """Windows: two sorts, none of rows that hold lists. Texts are shuffled once, and their hash is taken once."""
+    rng = random.Random(21)
+    docs = docs_of(spark, ["\n".join(words(rng, rng.randrange(1, 9)) for _ in range(20)) for _ in range(20)] * 2)
+    lines = linededup.line_table(docs).repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
+    windows = linededup._windows(lines, 25)
+    assert len(re.findall(r"\bSort \[", plan_of(windows, "executedPlan"))) == 2
+    out = linededup.dedup(docs)
+    plan = plan_of(out, "optimizedPlan")
+    assert "AS row#" in plan and not re.search(r"struct\([^)]*\btext, text#", plan)
+    joins = [x for x in plan.split("\n") if re.search(r"(Join|Filter) .*(_line#|_map#)", x)]
+    assert joins and not any("xxhash64(" in x for x in joins)
+    assert out.where("n_deleted > 0").count() == 20
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 9, 40])
+def test_line_windows_know_the_lines_beside_them(spark, min_words):
+    rng = random.Random(22)
+    texts = ["\n".join(words(rng, rng.choice([1, 1, 2, 5, 8, 30])) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
+    own = defaultdict(list)
+    for r in linededup.line_table(docs_of(spark, texts)).orderBy("doc_id", "pos").collect():
+        own[r["doc_id"]].append((r["h"], r["words"]))
+    expected = set()
+    for d, seq in own.items():
+        at = [sum(w for _, w in seq[:n]) for n in range(len(seq) + 1)]
+        for a in range(len(seq)):
+            b = next((b for b in range(a + 1, len(seq) + 1) if at[b] - at[a] >= min_words), None)
+            if b:
+                before = tuple(seq[k][0] for k in range(a) if at[a] - at[k] < min_words)
+                after = tuple(seq[k][0] for k in range(b, len(seq)) if at[k + 1] - at[b] < min_words)
+                expected.add((d, a + 1, b, before, after))
+    got = linededup._windows(linededup.line_table(docs_of(spark, texts)), min_words).collect()
+    assert sorted((r["doc_id"], r["first"], r["last"], tuple(r["before"]), tuple(r["after"])) for r in got) == sorted(expected)
+
+
 def test_line_dedup_counts_words(spark):
     """Blanks are no words, and words parted by tabs or several blanks are."""
     rng = random.Random(18)

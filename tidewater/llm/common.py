@@ -188,10 +188,11 @@ def screen(rows: DataFrame, key: Column, members: DataFrame, member: Column) ->
 
     bits = members.select(place(member).alias("_x")).select(line(F.col("_x")).alias("_line"), (F.col("_x") % BITMAP_ROW).alias("_x"))
     maps = F.broadcast(bits.groupBy("_line").agg(F.bitmap_construct_agg("_x").alias("_map")))
-    at = place(key)
+    # Taken once, below the join: the key's hash is no part of what Spark generates for the join and the filter.
+    placed, at = rows.withColumn("_at", F.when(key.isNotNull(), place(key))), F.col("_at")
     byte = F.conv(F.hex(F.substr(F.col("_map"), (F.floor(at % BITMAP_ROW / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & key.isNotNull()
-    marked = rows.join(maps, line(at) == F.col("_line"), "left").withColumn("_may", found)
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = placed.join(maps, line(at) == F.col("_line"), "left").withColumn("_may", found)
     return marked.where(~F.col("_may")).select(*rows.columns), marked.where("_may").select(*rows.columns)
 
 

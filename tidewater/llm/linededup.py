@@ -47,27 +47,23 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     """Every window: doc_id, th, first and last line numbers (of lines with a word), anchor (its minimum), posted (whether the window before did not select the same place), key, lines before and after."""
     by = Window.partitionBy("doc_id", "th")
-    order = by.orderBy("pos")
-    spread = lines.withColumn("stop", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("stop") - F.col("words")).withColumn("nth", F.row_number().over(order))
-    after = F.collect_list("h").over(by.orderBy("stop").rangeBetween(1, min_words - 1))
-    before = F.collect_list("h").over(by.orderBy("at").rangeBetween(-(min_words - 1), -1))
-    spread = spread.withColumn("after", after).withColumn("before", before)
-    reach = by.orderBy("at").rangeBetween(0, min_words - 1)
-    out = spread.select(
-        "doc_id",
-        "th",
-        F.col("nth").alias("first"),
-        F.max("nth").over(reach).alias("last"),
-        F.sum("words").over(reach).alias("total"),
-        F.collect_list("h").over(reach).alias("hashes"),
-        "before",
-        F.last("after").over(reach).alias("after"),
-    )
-    whole = out.where(F.col("total") >= min_words).withColumn("anchor", F.array_min("hashes"))
+    by_line = by.orderBy("pos")
+    spread = lines.withColumn("at", F.sum("words").over(by_line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).withColumn("nth", F.row_number().over(by_line))
+    # All else is ordered by the words before a line, so that Spark sorts thin rows once more and no row that holds lists.
+    order = by.orderBy("at")
+    reach = order.rangeBetween(0, min_words - 1)
+    spread = spread.withColumn("last", F.max("nth").over(reach)).withColumn("total", F.sum("words").over(reach)).withColumn("hashes", F.collect_list("h").over(reach))
+    spread = spread.withColumn("before", F.collect_list("h").over(order.rangeBetween(-(min_words - 1), -1)))
+    # From a line on, the lines that have less than min_words words together: all of its window but the last, which makes it whole. After a window come those of the next line.
+    ahead = F.when(F.col("total") < min_words, F.col("hashes")).otherwise(F.slice("hashes", 1, F.size("hashes") - 1))
+    spread = spread.withColumn("ahead", F.coalesce(F.lead(ahead).over(order), F.array().cast("array<bigint>")))
+    spread = spread.withColumn("after", F.last("ahead").over(reach))
+    whole = spread.where(F.col("total") >= min_words).withColumn("anchor", F.array_min("hashes"))
     # The rightmost minimum: its place from the window's end.
-    whole = whole.withColumn("place", F.col("last") + 1 - F.array_position(F.reverse("hashes"), F.col("anchor")))
-    posted = F.coalesce(F.lag("place").over(by.orderBy("first")) != F.col("place"), F.lit(True))
-    return whole.select("doc_id", "th", "first", "last", "anchor", posted.alias("posted"), F.xxhash64("hashes").alias("key"), "before", "after")
+    place = F.col("last") + 1 - F.array_position(F.reverse("hashes"), F.col("anchor"))
+    whole = whole.select("doc_id", "th", "at", F.col("nth").alias("first"), "last", "anchor", place.alias("place"), F.xxhash64("hashes").alias("key"), "before", "after")
+    posted = F.coalesce(F.lag("place").over(order) != F.col("place"), F.lit(True))
+    return whole.select("doc_id", "th", "first", "last", "anchor", posted.alias("posted"), "key", "before", "after")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -119,8 +115,8 @@ def dedup(docs: DataFrame, min_words: int = 25) -> DataFrame:
     gone = materialize(gone, "lines-gone")
     columns = [c for c in docs.columns if c != "n_deleted"]
     text = F.col("text").cast("string")
-    # All columns in one, so that none can clash with those of the join.
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*columns).alias("row"))
+    # All columns in one, so that none can clash with those of the join; the text, which may change, goes beside them and not twice.
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*(c for c in columns if c != "text")).alias("row"))
     whole, touched = screen(rows, F.when(F.col("text").isNotNull(), F.struct("doc_id", "th")), gone, F.struct("doc_id", "th"))
     joined = touched.join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)))
     joined = joined.withColumn("text", F.when(F.col("n_deleted") > 0, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))).drop("_gone")
